@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, quality_ledger, url_filter
+from keelson.llm import bpe, decontaminate, license_scan, quality_ledger, url_filter
 from keelson.llm.common import table
 
 #: Operator 2: the base rules, as (host, path, action).
@@ -47,6 +47,18 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str, rank_file: str | None = None)
     return bpe.decode(ids, ranks).select("doc_id", *bpe.digests(ids))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = decontaminate.judge(docs, table(spark, sf_dir, "benchmark"))
+    return judged.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated"
+    )
+
+
 def op10_quality_ledger(spark: SparkSession, sf_dir: str, policy: str = "prose-1") -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     entries = quality_ledger.ledger(docs)

@@ -11,7 +11,60 @@ urls AS (
   FROM pages)
 """
 
+_WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+
+
+def _license_sql() -> str:
+    from keelson.llm.license_scan import BASE_PHRASES, COVER, DRIFT, NOTICES
+
+    lines = [f"({n}, '{t}', '{x}', {b})" for n, (t, x, b) in enumerate(
+        [(*x, "true") for x in BASE_PHRASES] + [(*x, "false") for x in NOTICES])]
+    return f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+t(template, phrase, label, is_base) AS (VALUES {", ".join(lines)}),
+g AS (SELECT template, label, is_base, len(string_split(phrase, ' ')) - 1 AS grams, i AS place,
+             string_split(phrase, ' ')[i + 1] || ' ' || string_split(phrase, ' ')[i + 2] AS gram
+      FROM (SELECT *, unnest(range(len(string_split(phrase, ' ')) - 1)) AS i FROM t)),
+k AS (SELECT doc_id, i, words[i + 1] || ' ' || words[i + 2] AS gram
+      FROM (SELECT doc_id, words, unnest(range(len(words) - 1)) AS i FROM w)),
+v AS (SELECT doc_id, template, label, is_base, grams, i - place AS diagonal, count(DISTINCT place) AS votes
+      FROM k JOIN g USING (gram) GROUP BY ALL),
+m AS (SELECT *, least(sum(votes) OVER near, grams) AS near, votes = max(votes) OVER near AS best FROM v
+      WINDOW near AS (PARTITION BY doc_id, template ORDER BY diagonal RANGE BETWEEN {DRIFT} PRECEDING AND {DRIFT} FOLLOWING)),
+f AS (SELECT *, is_base AND votes = grams AS place,
+             CASE WHEN is_base THEN votes = grams ELSE best AND near >= {COVER} * grams END AS found FROM m),
+r AS (SELECT doc_id, count(*) FILTER (place) AS n_base, min(diagonal) FILTER (place) AS first_word,
+             max(diagonal) FILTER (place) AS last_word,
+             array_to_string(list_sort(list_distinct(list(label) FILTER (place))), ',') AS base_labels,
+             array_to_string(list_sort(list_distinct(list(label) FILTER (found))), ',') AS labels,
+             max(near::DOUBLE / grams) FILTER (found) AS score FROM f GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+       last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(score, 0.0)::DOUBLE AS score
+FROM w LEFT JOIN r USING (doc_id)
+"""
+
+
 SQL = {
+    "op5_license_scan": _license_sql(),
+    "op7_decontaminate": f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+b AS (SELECT item_id::VARCHAR AS item_id, {_WORDS} AS words FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(words), 13) AS span,
+              array_to_string(list_slice(words, s + 1, s + least(len(words), 13)), ' ') AS win
+       FROM (SELECT *, unnest(range(len(words) - least(len(words), 13) + 1)) AS s FROM b WHERE len(words) > 0)),
+dw AS (SELECT doc_id, span, s, array_to_string(list_slice(words, s + 1, s + span), ' ') AS win
+       FROM (SELECT w.*, n.span, unnest(range(len(words) - span + 1)) AS s
+             FROM w, (SELECT DISTINCT span FROM iw) n WHERE len(words) >= span)),
+h AS (SELECT DISTINCT doc_id, item_id, s, span FROM dw JOIN iw USING (span, win)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + span)) AS p FROM h) GROUP BY 1),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+      FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY 1)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM w LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)
+""",
     "op2_url_filter": f"""
 WITH {_URLS}, rules(rhost, rpath, action, own) AS (
   VALUES ('net', '/', 'block', 0), ('example.net', '/en/', 'allow', 0), ('example.com', '/de/', 'block', 0),
