@@ -95,12 +95,8 @@ def scan(docs: DataFrame, base=BASE_PHRASES, notices=NOTICES, doc_id: str = "doc
     )
     hits = (
         places.withColumn("hash", F.when(F.col("place") >= 0, F.xxhash64("word", "next_word")))
-        .join(
-            F.broadcast(grams),
-            (F.col("hash") == F.col("gram")) & (F.col("word") == F.col("first")) & (F.col("next_word") == F.col("second")),
-            "left",
-        )
-        .where("place < 0 OR template IS NOT NULL")
+        .join(F.broadcast(grams), F.col("hash") == F.col("gram"), "left")
+        .where("place < 0 OR (word = first AND next_word = second)")
         .select("doc_id", "text_hash", "n_words", "template", "label", "is_base", "grams", "place", "at")
         .repartition("doc_id", "text_hash")
     )
