@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, decontaminate, license_scan, quality_ledger, url_filter
+from keelson.llm import bpe, decontaminate, license_scan, quality_ledger, simhash, url_filter
 from keelson.llm.common import table
 
 #: Operator 2: the base rules, as (host, path, action).
@@ -28,6 +28,11 @@ def _rules(spark: SparkSession, rules) -> DataFrame:
     )
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hex_of(F.col("bits")).alias("fingerprint"), "component_id")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     base = url_filter.judge(pages, _rules(spark, BASE_RULES), default="none")

@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from keelson.llm.common import by_value
 
@@ -92,7 +93,7 @@ def measure(text: str | None) -> tuple[int, ...]:
     )
 
 
-@F.pandas_udf(", ".join(f"{m} long" for m in MEASURES))
+@F.pandas_udf(StructType([StructField(m, LongType()) for m in MEASURES]))
 def _measures(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([measure(t) for t in texts], columns=list(MEASURES), dtype="int64")
 
