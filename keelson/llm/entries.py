@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, decontaminate, license_scan, quality_ledger, simhash, url_filter
+from keelson.llm import bpe, decontaminate, lang_cnn, license_scan, quality_ledger, simhash, url_filter, warc
 from keelson.llm.common import table
 
 #: Operator 2: the base rules, as (host, path, action).
@@ -56,6 +56,15 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    folder = folder or warc.new_folder(spark)
+    index = warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(index, folder, payloads=False).select(
+        "page_id", F.col("read_bytes").alias("payload_bytes"), F.col("read_digest").alias("payload_digest"),
+        F.col("read_type").alias("record_type"), F.col("read_refers_to").alias("refers_to"),
+    )
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = decontaminate.judge(docs, table(spark, sf_dir, "benchmark"))
@@ -64,6 +73,15 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = lang_cnn.fit(docs)
+    held_out = F.coalesce(lang_cnn.fold(F.col("doc_id")) == lang_cnn.HELD_OUT_FOLD, F.lit(False))
+    return lang_cnn.identify(docs.select("doc_id", "text"), net).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op10_quality_ledger(spark: SparkSession, sf_dir: str, policy: str = "prose-1") -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     entries = quality_ledger.ledger(docs)

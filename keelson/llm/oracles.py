@@ -48,6 +48,20 @@ FROM w LEFT JOIN r USING (doc_id)
 
 SQL = {
     "op5_license_scan": _license_sql(),
+    "op6_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS h FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h, payload_bytes) AS response FROM d),
+v AS (SELECT *, list_transform(range(8), lambda g: ('0x' || substr(h, 5 * g::INT + 1, 5))::BIGINT) AS v FROM m)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(v, lambda x: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> 15) & 31)::INT + 1, 1)
+         || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> 10) & 31)::INT + 1, 1)
+         || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> 5) & 31)::INT + 1, 1)
+         || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x & 31)::INT + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> response THEN response END AS refers_to
+FROM v
+""",
     "op7_decontaminate": f"""
 WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
 b AS (SELECT item_id::VARCHAR AS item_id, {_WORDS} AS words FROM benchmark),
