@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, decontaminate, lang_cnn, license_scan, quality_ledger, simhash, url_filter, warc
+from keelson.llm import bpe, decontaminate, lang_cnn, license_scan, pii, quality_ledger, simhash, url_filter, warc
 from keelson.llm.common import table
 
 #: Operator 2: the base rules, as (host, path, action).
@@ -82,6 +82,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base = F.filter("pii_spans", lambda s: s["is_base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    of_kind = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return found.select(
+        "doc_id", *of_kind, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii_spans")).alias("spans")
+    )
+
+
 def op10_quality_ledger(spark: SparkSession, sf_dir: str, policy: str = "prose-1") -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     entries = quality_ledger.ledger(docs)
