@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, decontaminate, lang_cnn, license_scan, pii, quality_ledger, simhash, url_filter, warc
+from keelson.llm import bpe, decontaminate, html_main, lang_cnn, license_scan, pii, quality_ledger, simhash, url_filter, warc
 from keelson.llm.common import table
 
 #: Operator 2: the base rules, as (host, path, action).
@@ -52,6 +52,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str, rank_file: str | None = None)
     return bpe.decode(ids, ranks).select("doc_id", *bpe.digests(ids))
 
 
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_main.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
 
