@@ -49,6 +49,9 @@ _NUMBER = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _MASKED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[(]dot[\])]|\.) ?[A-Za-z0-9-]{1,63})+")
 _NATIONAL = re.compile(r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
+# Strict forms inside a longer run, which the base patterns take as a whole and drop.
+_STRICT_PHONE = re.compile(r"\+[0-9]{1,3} ?(?:\([0-9]{3}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
+_STRICT_CARD = re.compile(r"(?<![0-9])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DATE = re.compile(r"(?<![0-9./-])(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9./-])")
@@ -125,6 +128,8 @@ def loose_spans(text: str) -> list[tuple[str, int, int]]:
         found += [("email", *m.span()) for m in _MASKED.finditer(text)]
     if _DIGIT.search(text):
         found += [("phone", *m.span()) for m in _NATIONAL.finditer(text)]
+        found += [("phone", *m.span()) for m in _STRICT_PHONE.finditer(text)]
+        found += [("card", *m.span()) for m in _STRICT_CARD.finditer(text)]
         found += [("iban", *m.span()) for m in _IBAN.finditer(text)]
         found += [("ssn", *m.span()) for m in _SSN.finditer(text)]
         found += [("birth", *m.span()) for m in _DATE.finditer(text)]
@@ -159,10 +164,11 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> str:
         gazetteer = "+" if span.rpartition(".")[2].lower() in ("com", "org", "net", "edu", "gov", "de", "fr", "es", "uk") else "0"
     elif kind == "name":
         gazetteer = "+" if GIVEN_NAMES & set(span.split()[1:]) else "0"
+    strict = kind == "phone" and span[0] == "+" or kind == "card" and checksum == "+" and len(digits) >= 14
     edges = text[start - 1 : start] + text[end : end + 1]
     return "".join(
         (
-            "+" if base or kind in ("ssn", "iban") else "0",
+            "+" if base or strict or kind in ("ssn", "iban") else "0",
             checksum,
             "+" if any(w in before for w in CONTEXT[kind]) else "-" if kind == "birth" else "0",
             gazetteer,
