@@ -15,22 +15,26 @@ refused; an empty table gives an empty result of the same schema.
 from __future__ import annotations
 
 import base64
-from itertools import chain
+from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 from keelson.llm.common import by_value
 
-#: Texts beyond so many characters are split one match at a time.
-LAZY_SPLIT_CHARS = 1 << 20
+#: Characters split at a time; a longer text is split lazily.
+CHARS_AT_ONCE = 1 << 20
 #: Distinct pieces remembered by one task; beyond it the memory starts afresh (results don't depend on it).
-PIECE_MEMORY = 300_000
-#: Pieces longer than this are merged anew each time.
-LONGEST_KEPT = 64
+PIECE_MEMORY = 400_000
+#: Pieces of up to so many bytes are merged many at a time.
+SHORT_PIECE = 17
+ROWS_AT_ONCE = 8192
+NEVER = 1 << 62
 
 
 def load_ranks(rank_file: str) -> dict[bytes, int]:
@@ -52,12 +56,11 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [whole]
     if n < 2:
         return [ranks[piece]] if n else []
-    never = 1 << 62
     # A leaf's key is rank * n + position: the least key is the least rank, leftmost on ties.
     leaves = []
     for i in range(n - 1):
         r = rank(piece[i : i + 2])
-        leaves.append(never if r is None else r * n + i)
+        leaves.append(NEVER if r is None else r * n + i)
     levels = [leaves]
     while len(levels[-1]) > 1 << FAN:
         below = levels[-1]
@@ -65,23 +68,23 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     top, inner = levels[-1], len(levels) > 1
     after = list(range(1, n + 1))
     before = list(range(-1, n))
-    while (least := min(top)) < never:
+    while (least := min(top)) < NEVER:
         i = least % n
         gone = after[i]
         after[i] = end = after[gone]
         p = before[i]
         if end < n:
-            leaves[gone] = never
+            leaves[gone] = NEVER
             before[end] = i
             r = rank(piece[i : after[end]])
-            leaves[i] = never if r is None else r * n + i
+            leaves[i] = NEVER if r is None else r * n + i
         else:
-            leaves[i] = never
+            leaves[i] = NEVER
             if gone < n - 1:
-                leaves[gone] = never
+                leaves[gone] = NEVER
         if p >= 0:
             r = rank(piece[p:end])
-            leaves[p] = never if r is None else r * n + p
+            leaves[p] = NEVER if r is None else r * n + p
         if inner:
             changed = (p if p >= 0 else i, i, gone)
             for below, above in zip(levels, levels[1:]):
@@ -96,51 +99,140 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-class Known(dict):
-    """Ids of the pieces that one task has seen, within a bound; a new piece is merged on look-up."""
+class Merger:
+    """Merges pieces by given ranks: long ones each in a tree of its own, short ones many at a time.
+
+    A short piece is a row of leaves below one root, and each step merges the least
+    pair of every row that has one left.  Only pairs of tokens occur, so a pair's
+    rank is looked up by the ids of its tokens.
+    """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        super().__init__()
         self.ranks = ranks
-
-    def __missing__(self, piece: str) -> list[int]:
-        ids = merge_piece(piece.encode(), self.ranks)
-        if len(piece) <= LONGEST_KEPT:
-            if len(self) >= PIECE_MEMORY:
-                self.clear()
-            self[piece] = ids
-        return ids
+        get = ranks.get
+        pairs = [
+            (left << 32 | right, rank)
+            for token, rank in ranks.items()
+            for at in range(1, len(token))
+            if (left := get(token[:at])) is not None and (right := get(token[at:])) is not None
+        ]
+        found = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 2)
+        self.pairs = np.append(found[:, 0], np.iinfo(np.int64).max)
+        self.pair_ranks = np.append(found[:, 1], -1)
+        self.bytes = np.array([get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
+
+    def keys(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Keys of pairs at their places; NEVER where the pair has no rank."""
+        wanted = left << 32 | right
+        found = np.searchsorted(self.pairs, wanted)
+        return np.where(self.pairs[found] == wanted, self.pair_ranks[found] << 5 | at, NEVER)
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece, as int32 bytes."""
+        out: list[bytes | None] = [None] * len(pieces)
+        short = []
+        for at, piece in enumerate(pieces):
+            if len(piece) <= SHORT_PIECE and piece not in self.ranks:
+                short.append(at)
+            else:
+                out[at] = np.array(merge_piece(piece, self.ranks), dtype=np.int32).tobytes()
+        for at in range(0, len(short), ROWS_AT_ONCE):
+            chosen = short[at : at + ROWS_AT_ONCE]
+            for row, ids in zip(chosen, self._merge_short([pieces[x] for x in chosen])):
+                out[row] = ids
+        return out
+
+    def _merge_short(self, pieces: list[bytes]) -> list[bytes]:
+        wide, n = SHORT_PIECE, len(pieces)
+        sizes = np.array([len(p) for p in pieces])
+        text = np.frombuffer(b"".join(p.ljust(wide, b"\0") for p in pieces), np.uint8).reshape(n, wide)
+        token = self.bytes[text]
+        place = np.arange(wide)
+        leaves = self.keys(token[:, :-1], token[:, 1:], place[:-1])
+        leaves[place[1:] >= sizes[:, None]] = NEVER
+        leaves = np.pad(leaves, ((0, 0), (0, 1)), constant_values=NEVER)
+        alive = place < sizes[:, None]
+        after = np.tile(np.arange(1, wide + 2, dtype=np.int8), (n, 1))
+        before = np.tile(np.arange(-1, wide, dtype=np.int8), (n, 1))
+        row = np.arange(n)
+        while len(row):
+            top = leaves[row].min(axis=1)
+            some = top < NEVER
+            row, top = row[some], top[some]
+            i, merged = top & 31, top >> 5
+            gone = after[row, i]
+            end = after[row, gone]
+            token[row, i] = merged
+            alive[row, gone] = False
+            leaves[row, gone] = NEVER
+            after[row, i] = end
+            before[row, end] = i
+            leaves[row, i] = NEVER
+            more = end < sizes[row]
+            r, x = row[more], i[more]
+            leaves[r, x] = self.keys(merged[more], token[r, end[more]], x)
+            left = before[row, i]
+            more = left >= 0
+            r, x = row[more], left[more]
+            leaves[r, x] = self.keys(token[r, x], merged[more], x)
+        ends = np.concatenate([[0], np.cumsum(alive.sum(axis=1))]) * 4
+        ids = token[alive].astype(np.int32).tobytes()
+        return [ids[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
 
 
 class Encoder:
-    """Encodes whole texts."""
-
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.pattern, self.known = regex.compile(pattern, regex.V1), Known(ranks)
+    """Encodes whole texts; remembers the ids of the pieces that one task has seen, within a bound."""
+
+    def __init__(self, merger: Merger, pattern: str) -> None:
+        self.merger, self.pattern, self.known = merger, regex.compile(pattern, regex.V1), {}
+
+    def _learn(self, pieces: list[str]) -> None:
+        if len(self.known) > PIECE_MEMORY:
+            self.known = {}
+        new = list(set(pieces).difference(self.known))
+        self.known.update(zip(new, self.merger.merge([p.encode() for p in new])))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as int32 bytes."""
+        out, start = [], 0
+        while start < len(texts):
+            end, chars = start, 0
+            while end < len(texts) and (end == start or chars + len(texts[end]) <= CHARS_AT_ONCE):
+                chars += len(texts[end])
+                end += 1
+            if chars > CHARS_AT_ONCE:
+                out.append(b"".join(self._long(texts[start])))
+            else:
+                split = [self.pattern.findall(t) for t in texts[start:end]]
+                self._learn(list(chain.from_iterable(split)))
+                known = self.known.__getitem__
+                out += [b"".join(map(known, pieces)) for pieces in split]
+            start = end
+        return out
+
+    def _long(self, text: str) -> Iterator[bytes]:
+        found = (m.group() for m in self.pattern.finditer(text))
+        while pieces := list(islice(found, CHARS_AT_ONCE >> 3)):
+            self._learn(pieces)
+            yield b"".join(map(self.known.__getitem__, pieces))
 
     def encode(self, text: str) -> list[int]:
-        pieces = (
-            self.pattern.findall(text)
-            if len(text) <= LAZY_SPLIT_CHARS
-            else (m.group() for m in self.pattern.finditer(text))
-        )
-        return list(chain.from_iterable(map(self.known.__getitem__, pieces)))
+        return np.frombuffer(self.encode_all([text])[0], np.int32).tolist()
 
 
 def encode_column(text: Column, ranks: dict[bytes, int], pattern: str) -> Column:
     """Array of ids of a text column, by the given ranks and split pattern."""
+    merger = Merger(ranks)
     state: dict[str, Encoder] = {}
-    packed = (list(ranks), list(ranks.values()))
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf(ArrayType(IntegerType()))
     def encode(texts: pa.Array) -> pa.Array:
         if "encoder" not in state:
-            state["encoder"] = Encoder(dict(zip(*packed)), pattern)
-        one = state["encoder"].encode
-        rows = [np.asarray(one(t.as_py() or ""), dtype=np.int32) for t in texts]
-        ends = np.cumsum([0, *(len(r) for r in rows)])
+            state["encoder"] = Encoder(merger, pattern)
+        rows = state["encoder"].encode_all([t or "" for t in texts.to_pylist()])
+        ends = np.cumsum([0, *(len(r) >> 2 for r in rows)])
         return pa.ListArray.from_arrays(
-            pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *rows]))
+            pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32))
         )
 
     return encode(text)
@@ -151,7 +243,7 @@ def decode_column(ids: Column, ranks: dict[bytes, int]) -> Column:
     state: dict[str, pa.Array] = {}
     packed = (list(ranks), list(ranks.values()))
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf(BinaryType())
     def decode(rows: pa.Array) -> pa.Array:
         if "table" not in state:
             table = [None] * (max(packed[1], default=-1) + 1)
