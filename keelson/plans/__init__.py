@@ -1,6 +1,6 @@
 """Registered queries; importing this package registers them all."""
 
-from keelson.plans import structure_queries  # noqa: F401
+from keelson.plans import corpus_queries, history_queries, page_queries, structure_queries  # noqa: F401
 from keelson.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
