@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """The same rows behind a checkpoint: later plans start here, and a lost executor costs no recomputation."""
-    sc = df.sparkSession.sparkContext
+def staging_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a folder of our own only where none is set, as in tests."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="keelson-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The same rows behind a checkpoint: later plans start here, and a lost executor costs no recomputation."""
+    staging_folder(df.sparkSession)
     return df.checkpoint()

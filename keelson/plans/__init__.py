@@ -1,6 +1,13 @@
 """Registered queries; importing this package registers them all."""
 
-from keelson.plans import corpus_queries, history_queries, page_queries, structure_queries  # noqa: F401
+from keelson.plans import (  # noqa: F401
+    contract_queries,
+    corpus_queries,
+    history_queries,
+    page_queries,
+    stream_queries,
+    structure_queries,
+)
 from keelson.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
