@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.functions import text
 from keelson.operators import structure
+from keelson.operators.staging import staging_folder
 from keelson.plans.registry import query, table
+from keelson.sources import records
 
 #: The same expression builds the documents in both engines: closed orders have an object, some arrays are empty.
 _JSON = """concat('{"id":', o_orderkey, ',"status":"', o_orderstatus, '"',
@@ -93,3 +97,42 @@ def k13_drift_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("~ "), path, F.lit(" ("), "old_type", F.lit(" -> "), "new_type", F.lit(")")))
     )
     return structure.compare(old, new).select(line.alias("line"))
+
+
+@query("k1_baselines_saved_and_loaded", f"WITH {_TREE} SELECT 'https://shop.example/' || status AS url, path, type FROM s")
+def k1_baselines_saved_and_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structures written as baselines, one for each URL, and read back with their checks."""
+    url = F.concat(F.lit("https://shop.example/"), "status").alias("url")
+    found = structure.structures(documents(spark, sf_dir).select(url, "json"), ["url"])
+    folder = f"{staging_folder(spark)}/baselines-{uuid.uuid4().hex}"
+    records.save_baselines(records.baseline_rows(found, ["url"], "url", "2026-01-01T00:00:00Z"), folder)
+    kept = records.load_baselines(spark, folder).where("problem IS NULL")
+    return kept.select("url", text.shown_path(F.col("path")).alias("path"), "type")
+
+
+@query(
+    "j1_drift_by_priority",
+    f"""WITH d AS (SELECT o_orderpriority AS prio, o_orderstatus AS status, {_JSON} AS j FROM orders),
+t AS (SELECT prio, status, regexp_replace(replace(substr(fullkey, 3), '"', ''), '\\[[0-9]+\\]', '[]', 'g') AS path,
+             CASE type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string'
+                       WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS type,
+             type = 'ARRAY' AND json_array_length(value) > 0 AS filled
+      FROM d, json_tree(d.j::JSON) WHERE fullkey <> '$'),
+s AS (SELECT prio, status, path, string_agg(DISTINCT type, '|' ORDER BY type) AS type FROM t GROUP BY 1, 2, 3
+      UNION ALL SELECT prio, status, path || '[]', 'unknown' FROM t WHERE type = 'array' GROUP BY 1, 2, 3 HAVING NOT bool_or(filled)),
+b AS (SELECT coalesce(o.prio, n.prio) AS prio, coalesce(o.path, n.path) AS path, o.type AS old_type, n.type AS new_type
+      FROM (SELECT * FROM s WHERE status = 'P') o FULL JOIN (SELECT * FROM s WHERE status = 'O') n ON o.path = n.path AND o.prio = n.prio),
+u AS (SELECT prio, path FROM b WHERE old_type = 'unknown' OR new_type = 'unknown')
+SELECT prio, path, CASE WHEN old_type IS NULL THEN 'added' WHEN new_type IS NULL THEN 'absent' ELSE 'type_changed' END AS kind,
+       old_type, new_type FROM b WHERE old_type IS DISTINCT FROM new_type AND NOT EXISTS (SELECT 1 FROM u WHERE b.prio = u.prio
+       AND (b.path = u.path OR starts_with(b.path, u.path || '.') OR starts_with(b.path, u.path || '[]')))
+""",
+)
+def j1_drift_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift of many pairs of structures at once, keyed by the order priority."""
+    docs = table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("prio"), F.col("o_orderstatus").alias("status"), F.expr(_JSON).alias("json")
+    )
+    found = structure.structures(docs, ["prio", "status"])
+    old, new = found.where("status = 'P'").drop("status"), found.where("status = 'O'").drop("status")
+    return structure.compare(old, new, ["prio"]).withColumn("path", text.shown_path(F.col("path")))
