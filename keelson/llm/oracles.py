@@ -112,7 +112,7 @@ m AS (
   FROM w LEFT JOIN r USING (doc_id)),
 b AS (
   SELECT *, (n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT
-         + 8 * (n_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines)::INT
+         + 8 * (n_lines >= 4 AND 10 * n_dup_lines > 4 * n_lines)::INT
          + 16 * (n_upper + n_lower >= 20 AND 2 * n_upper > n_upper + n_lower)::INT
          + 32 * (5 * n_exclaims > n_words)::INT + 64 * (n_words > 0 AND word_chars < 2 * n_words)::INT
          + 128 * (word_chars > 20 * n_words)::INT AS bits FROM m)

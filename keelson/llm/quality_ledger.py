@@ -46,7 +46,7 @@ RULES = (
     Rule(0, "few_words", "n_words < 50"),
     Rule(1, "repeated_phrases", "100 * n_repeat_words > 50 * n_words"),
     Rule(2, "symbols", "10 * n_symbols > n_words"),
-    Rule(3, "duplicate_lines", "n_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines"),
+    Rule(3, "duplicate_lines", "n_lines >= 4 AND 10 * n_dup_lines > 4 * n_lines"),
     Rule(4, "shouting", "n_upper + n_lower >= 20 AND 2 * n_upper > n_upper + n_lower"),
     Rule(5, "exclamations", "5 * n_exclaims > n_words"),
     Rule(6, "short_words", "n_words > 0 AND word_chars < 2 * n_words"),
