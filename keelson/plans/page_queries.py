@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.functions import text
-from keelson.operators import links, matching
+from keelson.operators import discovery, links, matching
 from keelson.plans.registry import query, table
 
 
@@ -156,3 +156,57 @@ def a12_search_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def x10_decoded_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(text.decoded_segments(path), "|").alias("segments"))
+
+
+@query(
+    "p3_normal_targets",
+    """SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) AS scheme, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host,
+       CASE WHEN regexp_extract(url, '://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '://[^/?#]*([^?#]*)', 1) END AS path,
+       CASE WHEN contains(url, '#') THEN 'fragment' END AS problem FROM pages""",
+)
+def p3_normal_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = discovery.normal_target(F.col("url"))
+    found = table(spark, sf_dir, "pages").select("page_id", target.alias("t"))
+    return found.select("page_id", "t.scheme", "t.host", "t.path", "t.problem")
+
+
+@query(
+    "a16_coverage_of_searches",
+    f"""SELECT {_HOST} AS request, count_if(page_id % 6 <> 5) AS examined, count_if(page_id % 6 = 5) AS unexamined,
+        coalesce(string_agg(DISTINCT CASE WHEN page_id % 6 = 5 THEN CASE WHEN page_id % 4 = 1 THEN 'time' ELSE 'bytes' END END, ','
+        ORDER BY CASE WHEN page_id % 6 = 5 THEN CASE WHEN page_id % 4 = 1 THEN 'time' ELSE 'bytes' END END), '') AS limits FROM pages GROUP BY 1""",
+)
+def a16_coverage_of_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ended = F.col("page_id") % 6 == 5
+    attempts = table(spark, sf_dir, "pages").select(
+        F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("request"), "url", F.when(ended, "budget_exhausted").otherwise("retrieved").alias("outcome"),
+        F.when(ended, F.when(F.col("page_id") % 4 == 1, "time").otherwise("bytes")).alias("limit"),
+    )
+    return discovery.coverage(attempts).withColumn("limits", F.array_join("limits", ","))
+
+
+@query(
+    "j18_suggested_links",
+    f"""WITH {_LINKS}, g AS (SELECT page_id, 'L' || (page_id % 9 + 1)::VARCHAR AS shown_id FROM pages)
+        SELECT g.page_id, shown_id, r.page_id IS NOT NULL AS known FROM g LEFT JOIN r ON r.page_id = g.page_id AND 'L' || r.rank::VARCHAR = shown_id AND r.rank <= 6""",
+)
+def j18_suggested_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One suggestion for each page: was that link shown?"""
+    shown = links.best_of_page(scored(spark, sf_dir)).select("page_id", F.concat(F.lit("L"), "rank").alias("shown_id"))
+    suggested = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("L"), F.col("page_id") % 9 + 1).alias("shown_id"))
+    known, unknown = discovery.known_suggestions(suggested, shown)
+    return known.withColumn("known", F.lit(True)).unionByName(unknown.withColumn("known", F.lit(False)))
+
+
+@query(
+    "p22_server_expansions",
+    """WITH t AS (SELECT DISTINCT regexp_extract(url, '://[^.]*\\.(.*?)/', 1) AS contract FROM pages WHERE regexp_extract(url, '://[^.]*\\.(.*?)/', 1) <> '')
+       SELECT contract, 'https://' || r || '.' || contract || '/' || v AS server FROM t, (VALUES ('eu'), ('us')) a(r), (VALUES ('v1'), ('v2')) b(v)""",
+)
+def p22_server_expansions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Server templates with two variables of two values each, filled in."""
+    contract = F.regexp_extract("url", r"://[^.]*\.(.*?)/", 1)
+    names = F.create_map(F.lit("r"), F.array(F.lit("eu"), F.lit("us")), F.lit("v"), F.array(F.lit("v1"), F.lit("v2"), F.lit("v1")))
+    servers = table(spark, sf_dir, "pages").select(contract.alias("contract")).where("contract <> ''").distinct()
+    servers = servers.select("contract", F.concat(F.lit("https://{r}."), "contract", F.lit("/{v}")).alias("url"), names.alias("variables"))
+    return discovery.expanded_servers(servers).select("contract", "server")
