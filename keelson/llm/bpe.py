@@ -251,18 +251,21 @@ def decode_column(ids: Column, ranks: dict[bytes, int]) -> Column:
                 table[rank] = token
             state["table"] = pa.array(table, pa.large_binary())
         # The tokens taken in order lie one after another in one buffer; a text is the range of its tokens.
-        rows = pa.concat_arrays([rows.fill_null([]), pa.array([], rows.type)])
+        rows = pa.concat_arrays([rows, pa.array([], rows.type)])
         tokens = state["table"].take(rows.values)
         if tokens.null_count:
             raise ValueError("an id is in no rank")
         if not len(rows):
             return pa.array([], pa.binary())
-        ends = np.frombuffer(tokens.buffers()[1], np.int64)[rows.offsets.to_numpy()] if len(tokens) else np.zeros(len(rows) + 1)
+        ends = np.zeros(len(rows) + 1)
+        if len(tokens):
+            ends = np.frombuffer(tokens.buffers()[1], np.int64)[rows.offsets.to_numpy()]
         return pa.BinaryArray.from_buffers(
             pa.binary(), len(rows), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), tokens.buffers()[2]]
         )
 
-    return decode(ids)
+    # Were one Python function called on the other's column directly, Spark would chain them and encode twice.
+    return decode(F.coalesce(ids, F.array().cast("array<int>")))
 
 
 def encode(
