@@ -25,12 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
-from keelson.llm.common import by_value
+from keelson.llm.common import by_value, small_batches
 
 #: Characters split at a time; a longer text is split lazily.
 CHARS_AT_ONCE = 1 << 20
 #: Distinct pieces remembered by one task; beyond it the memory starts afresh (results don't depend on it).
-PIECE_MEMORY = 400_000
+PIECE_MEMORY = 200_000
 #: Pieces of up to so many bytes are merged many at a time.
 SHORT_PIECE = 17
 ROWS_AT_ONCE = 8192
@@ -274,14 +274,14 @@ def encode(
     """``docs`` with the ids of every whole text added as ``out``."""
     if out.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"column {out} is there already")
-    return docs.withColumn(out, encode_column(F.col(f"`{text}`"), ranks, pattern))
+    return small_batches(docs).withColumn(out, encode_column(F.col(f"`{text}`"), ranks, pattern))
 
 
 def decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """``docs`` with the decoded bytes of the id column added as ``out``."""
     if out.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"column {out} is there already")
-    return docs.withColumn(out, decode_column(F.col(f"`{ids}`"), ranks))
+    return small_batches(docs).withColumn(out, decode_column(F.col(f"`{ids}`"), ranks))
 
 
 def digests(docs: DataFrame, ids: str = "token_ids", decoded: str = "decoded") -> list[Column]:

@@ -59,9 +59,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def unused_name(wanted: str, df: DataFrame) -> str:
-    """A column name that clashes with none of the frame's own (names are compared without case)."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted = "_" + wanted
-    return wanted
+#: Rows and bytes of one Arrow batch; a Python worker's memory follows these, not the table.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after bounding the session's Arrow batches; whole texts are long, so the defaults hold too many."""
+    conf = df.sparkSession.conf
+    rows = int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if rows > BATCH_ROWS or rows <= 0:  # zero and less mean no bound
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df

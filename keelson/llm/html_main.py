@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from keelson.llm.common import by_value
+from keelson.llm.common import by_value, small_batches
 
 #: Elements without content, which never open.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -234,7 +234,7 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFram
     def texts(rows: pa.Array) -> pa.Array:
         return pa.array([main_text(r.as_py()) for r in rows], pa.string())
 
-    return pages.withColumn(out, texts(F.col(f"`{html}`")))
+    return small_batches(pages).withColumn(out, texts(F.col(f"`{html}`")))
 
 
 by_value(__name__)

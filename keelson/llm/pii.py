@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from keelson.llm.common import by_value
+from keelson.llm.common import by_value, small_batches
 
 #: Base kinds in the order that decides ties, then the kinds that only the method adds.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -246,7 +246,7 @@ def learn(docs: DataFrame, text: str = "text") -> dict[str, float]:
     def patterns(texts: pa.Array) -> pa.Array:
         return pa.array([[c[4] for c in candidates(t.as_py() or "")] for t in texts], pa.list_(pa.string()))
 
-    counted = docs.select(F.explode(patterns(F.col(f"`{text}`"))).alias("pattern")).groupBy("pattern").count()
+    counted = small_batches(docs).select(F.explode(patterns(F.col(f"`{text}`"))).alias("pattern")).groupBy("pattern").count()
     return train({r["pattern"]: r["count"] for r in counted.collect()})
 
 
@@ -281,7 +281,7 @@ def find(docs: DataFrame, text: str = "text", out: str = "pii_spans", model: dic
     """``docs`` with the accepted spans; the model is learned from the same texts unless given."""
     if out.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"column {out} is there already")
-    return docs.withColumn(out, spans_column(F.col(f"`{text}`"), learn(docs, text) if model is None else model))
+    return small_batches(docs).withColumn(out, spans_column(F.col(f"`{text}`"), learn(docs, text) if model is None else model))
 
 
 def redact_text(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
@@ -303,7 +303,7 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars",
         rows = [t.as_py() for t in texts]
         return pa.array([None if t is None else redact_text(t, accepted(t, model)) for t in rows], pa.string())
 
-    out = docs.withColumn(text, replaced(F.col(f"`{text}`")))
+    out = small_batches(docs).withColumn(text, replaced(F.col(f"`{text}`")))
     if n_chars in docs.columns:
         out = out.withColumn(n_chars, F.length(F.col(f"`{text}`")).cast(dict(docs.dtypes)[n_chars]))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))

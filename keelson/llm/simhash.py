@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from keelson.llm.common import by_value, settle
+from keelson.llm.common import by_value, settle, small_batches
 from keelson.llm.components import components
 
 LINK_BITS = 2
@@ -234,7 +234,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", link_bit
     """For each row: doc_id, text_hash, bits (the fingerprint), group (its least fingerprint) and component_id."""
     whole = F.col(f"`{text}`")
     marked = settle(
-        docs.select(
+        small_batches(docs).select(
             F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(whole).alias("text_hash"), fingerprint_column(whole).alias("bits")
         )
     )

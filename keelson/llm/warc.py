@@ -33,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import by_value, ensure_checkpoint_dir, settle
+from keelson.llm.common import by_value, ensure_checkpoint_dir, settle, small_batches
 
 #: Fixed values of the WARC format.
 VERSION = "WARC/1.1"
@@ -101,7 +101,7 @@ def write(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z") ->
     The number of archives is that of the tasks after the join on the digest; AQE sizes them.
     """
     html = F.coalesce("html", F.lit(""))
-    marked = pages.select("page_id", "url", html.alias("html"), F.sha1(html).alias("sha"), F.octet_length(html).alias("n"))
+    marked = small_batches(pages).select("page_id", "url", html.alias("html"), F.sha1(html).alias("sha"), F.octet_length(html).alias("n"))
     # Settled, so that the join shuffles both sides itself and a payload that a third of the pages have can be split.
     first = settle(marked.groupBy("sha", "n").agg(F.max("page_id").alias("response")))
     revisit = ~F.col("page_id").eqNullSafe(F.col("response"))
