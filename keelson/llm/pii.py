@@ -11,7 +11,9 @@
    and a posterior for each pattern; a logistic span classifier is then trained on
    the patterns, weighted by count, with the posteriors as soft labels.
 5. A second pass keeps the spans that the classifier accepts.  Base spans stay
-   always; an added span never overlaps a base one.
+   always; an added span never overlaps a base one.  Candidates may overlap each
+   other: all are judged, and of the accepted ones that overlap the most probable
+   stays, then the longest.  Redaction covers every accepted one.
 
 Cases: a null text counts as empty and has no spans; equal rows get equal spans;
 spans of one kind never overlap, and of two kinds at the same start the order of
@@ -38,8 +40,6 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn", "name", "birth")
 LABELERS = ("format", "checksum", "context", "gazetteer", "adverse", "boundary")
 ACCEPT = 0.5
-#: Spans looked at before a candidate: base spans of two kinds may overlap, but none has room for so many others.
-NEIGHBOURS = 24
 
 # Possessive repeats where giving back can't help, so that no text costs more than linear time.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -51,7 +51,11 @@ _MASKED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(
 _NATIONAL = re.compile(r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
 # Strict forms inside a longer run, which the base patterns take as a whole and drop.
 _STRICT_PHONE = re.compile(r"\+[0-9]{1,3} ?(?:\([0-9]{3}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
-_STRICT_CARD = re.compile(r"(?<![0-9])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])")
+# A card may begin in any group of a run, so these are looked for at every place.
+_STRICT_CARDS = (
+    re.compile(r"(?<![0-9])(?=([0-9]{4}([ -]?)[0-9]{4}\2[0-9]{4}\2[0-9]{4})(?![0-9]))"),
+    re.compile(r"(?<![0-9])(?=(3[47][0-9]{2}([ -]?)[0-9]{6}\2[0-9]{5})(?![0-9]))"),
+)
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DATE = re.compile(r"(?<![0-9./-])(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9./-])")
@@ -129,7 +133,7 @@ def loose_spans(text: str) -> list[tuple[str, int, int]]:
     if _DIGIT.search(text):
         found += [("phone", *m.span()) for m in _NATIONAL.finditer(text)]
         found += [("phone", *m.span()) for m in _STRICT_PHONE.finditer(text)]
-        found += [("card", *m.span()) for m in _STRICT_CARD.finditer(text)]
+        found += [("card", *m.span(1)) for strict in _STRICT_CARDS for m in strict.finditer(text)]
         found += [("iban", *m.span()) for m in _IBAN.finditer(text)]
         found += [("ssn", *m.span()) for m in _SSN.finditer(text)]
         found += [("birth", *m.span()) for m in _DATE.finditer(text)]
@@ -178,17 +182,24 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> str:
     )
 
 
+def clear(taken: list[tuple[int, int]], start: int, end: int) -> int | None:
+    """Where a span goes among sorted disjoint ones, or None if it overlaps one."""
+    at = bisect_left(taken, (end, 0))
+    return None if at and taken[at - 1][1] > start else at
+
+
 def candidates(text: str) -> list[tuple[str, int, int, bool, str]]:
-    """(kind, start, end, is_base, pattern), base ones first; none that isn't base overlaps a base or an earlier one."""
+    """(kind, start, end, is_base, pattern), base ones first; none that isn't base overlaps a base one."""
     base = base_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
+    taken: list[tuple[int, int]] = []
+    for start, end in sorted((a, b) for _, a, b in base):
+        if taken and start < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(end, taken[-1][1]))
+        else:
+            taken.append((start, end))
+    added = sorted(set(loose_spans(text)), key=lambda x: (x[1], -x[2], KINDS.index(x[0])))
     out = []
-    for kind, start, end, is_base in [(*x, True) for x in base] + [(*x, False) for x in sorted(set(loose_spans(text)), key=lambda x: (x[1], -x[2]))]:
-        if not is_base:
-            at = bisect_left(taken, (end, 0))
-            if any(b > start for _, b in taken[max(0, at - NEIGHBOURS) : at]):
-                continue
-            taken.insert(at, (start, end))
+    for kind, start, end, is_base in [(*x, True) for x in base] + [(*x, False) for x in added if clear(taken, *x[1:]) is not None]:
         said = votes(text, kind, start, end, is_base)
         out.append((kind, start, end, is_base, f"{kind}|{said}|{min((end - start) // 8, 5)}"))
     return out
@@ -258,9 +269,21 @@ SPAN = StructType(
 )
 
 
+def judged(text: str, model: dict[str, float]) -> list[tuple[str, int, int, bool, float]]:
+    """Base spans and all that the classifier accepts, with its probability, by start and then kind; added ones may overlap."""
+    kept = [(*c[:4], model.get(c[4], 0.0)) for c in candidates(text)]
+    return sorted((c for c in kept if c[3] or c[4] >= ACCEPT), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+
+
 def accepted(text: str, model: dict[str, float]) -> list[tuple[str, int, int, bool]]:
-    """Spans of a text by start, then by kind as listed."""
-    kept = [c[:4] for c in candidates(text) if c[3] or model.get(c[4], 0.0) >= ACCEPT]
+    """Spans of a text by start, then by kind as listed; of added ones that overlap the most probable, then the longest."""
+    found = judged(text, model)
+    kept = [c[:4] for c in found if c[3]]
+    taken: list[tuple[int, int]] = []
+    for kind, start, end, is_base, _ in sorted((c for c in found if not c[3]), key=lambda x: (-x[4], x[1] - x[2], x[1], KINDS.index(x[0]))):
+        if (at := clear(taken, start, end)) is not None:
+            taken.insert(at, (start, end))
+            kept.append((kind, start, end, is_base))
     return sorted(kept, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
@@ -301,7 +324,7 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars",
     @F.arrow_udf(StringType())
     def replaced(texts: pa.Array) -> pa.Array:
         rows = [t.as_py() for t in texts]
-        return pa.array([None if t is None else redact_text(t, accepted(t, model)) for t in rows], pa.string())
+        return pa.array([None if t is None else redact_text(t, [c[:4] for c in judged(t, model)]) for t in rows], pa.string())
 
     out = small_batches(docs).withColumn(text, replaced(F.col(f"`{text}`")))
     if n_chars in docs.columns:

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,3 +77,29 @@ def test_added_spans_keep_clear_of_base_ones(spark):
     assert {c[0] for c in found} >= {"phone", "iban", "birth", "card"}
     for _, a, b, is_base, _ in found:
         assert is_base or all(b <= x or y <= a for x, y in base)
+
+
+def test_overlapping_candidates_are_judged_before_they_bar_each_other():
+    card, ssn = "4111 1111 1111 1111", "123-45-6789"
+    texts = {
+        f"card {card} 123": ("card", card), "card 4111-1111-1111-1111 12": ("card", "4111-1111-1111-1111"),
+        f"card 12 {card}": ("card", card), f"card 1234 {card}": ("card", card), f"card {card} 1234": ("card", card),
+        "card 3782 822463 10005 1234": ("card", "3782 822463 10005"), f"ssn {ssn} 2020-01-01": ("ssn", ssn),
+    }
+    counts = Counter(c[4] for t in [*texts, "order 1234 5678 9012 3456 78", "born 2020-01-01"] * 20 for c in pii.candidates(t))
+    model = pii.train(counts)
+    for text, (kind, want) in texts.items():
+        assert kind not in {s[0] for s in pii.base_spans(text)}, text
+        found = pii.accepted(text, model)
+        assert (kind, want) in {(k, text[a:b]) for k, a, b, _ in found}, text
+        assert all(a[2] <= b[1] for a, b in zip(found, found[1:]))
+        assert want not in pii.redact_text(text, [c[:4] for c in pii.judged(text, model)])
+
+
+def test_of_accepted_ones_that_overlap_the_most_probable_stays():
+    text = "card 1234 4111 1111 1111 1111"
+    found = {text[a:b]: pattern for _, a, b, _, pattern in pii.candidates(text)}
+    assert set(found) == {"1234 4111 1111 1111", "4111 1111 1111 1111"}
+    model = {found["1234 4111 1111 1111"]: 0.6, found["4111 1111 1111 1111"]: 0.9}
+    assert [text[a:b] for _, a, b, _ in pii.accepted(text, model)] == ["4111 1111 1111 1111"]
+    assert pii.redact_text(text, [c[:4] for c in pii.judged(text, model)]) == "card <CARD>"
