@@ -3,13 +3,16 @@
 A page becomes a tree of its block elements.  Each block of text passes points for
 its length and its commas to the elements above it (whole to the nearest container,
 a half and a third further up); an element's points are discounted by the share of
-link text below it.  The best container is kept with its siblings that score well,
-or the whole article where the best container lies in one.  Menus, headers,
+link text below it.  The best container is kept with all that stands beside it or
+further up and doesn't consist of links (or scores well next to it), or the whole
+article where the best container lies in one.  Menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
 left out by element, role and class names.
 
 Cases: a null or empty html has the text ''; markup that is cut off or badly nested
-is closed where HTML closes it; character references are decoded once; white space
+is closed where HTML closes it (a script, style, title, textarea or iframe without
+an end tag reaches to the end of the page, a button, select, drawing or template to
+the end of its parent); formulas and fallback texts are text; character references are decoded once; white space
 (any Unicode white space, and <br>) within a block becomes one space; nothing else
 is dropped or cut; of equal scores the first container in page order wins; equal
 pages get equal texts; extra columns pass through and clashing output names are
@@ -30,8 +33,12 @@ from keelson.llm.common import by_value, small_batches
 
 #: Elements without content, which never open.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page, up to their end tag.
-RAW = frozenset("script style textarea title noscript template iframe svg math object canvas select button".split())
+#: Elements whose content is neither markup nor text of the page, up to their end tag.
+RAW = frozenset("script style textarea title iframe".split())
+#: Elements whose content is markup but no text of the page; they end with their parent at the latest.
+HIDDEN = frozenset("template svg select button annotation annotation-xml".split())
+#: Those of them that any block inside ends, as it can't be part of them.
+FOREIGN = frozenset("svg annotation annotation-xml".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot "
@@ -58,13 +65,15 @@ CLOSES = {
 }
 NO_P_INSIDE = frozenset(BLOCK - {"dd", "dt", "li", "td", "th", "html", "body", "head", "tbody", "thead", "tfoot", "tr"})
 
+#: The greatest share of link text in what is kept beside the best container.
+LIGHT = 0.25
 #: Elements nested deeper become siblings, as in browsers; no text is lost by it.
 DEEPEST = 512
 
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)")
 _QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
-_NAMES = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|(\S++)))?")
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -88,26 +97,23 @@ def opened(tag: str, attributes: str, parent: Node) -> Node:
             above = above.parent
         out = above is None
     if attributes:
-        for name, a, b, c in _NAMES.findall(attributes):
-            value, name = (a or b or c).lower(), name.lower()
-            if name in ("class", "id"):
-                words.update(_WORD.findall(value))
-            elif name == "role":
-                out = out or value in LEFT_OUT_ROLES
-            elif name == "style":
-                out = out or "display:none" in value.replace(" ", "")
-            elif name == "hidden" or value == "true":
-                out = True
+        seen: dict[str, str] = {}
+        for name, a, b, c in _ATTRIBUTE.findall(attributes):
+            seen.setdefault(name.lower(), (a or b or c).lower())  # of equal names the first counts
+        words.update(_WORD.findall(f"{seen.get('class', '')} {seen.get('id', '')}"))
+        out = out or "hidden" in seen or seen.get("aria-hidden") == "true" or seen.get("role") in LEFT_OUT_ROLES
+        out = out or "display:none" in seen.get("style", "").replace(" ", "")
         if tag not in ("html", "body", "article", "main"):
             out = out or bool(words & NOISE) or bool(words & DOUBTFUL and not words & GOOD)
     return Node(tag, parent, out, 30.0 * (tag in ("article", "main")) + 15.0 * bool(words & GOOD))
 
 
-def blocks_of(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
-    """The nodes of the block tree, parents first, and its blocks of text in page order, without what is left out."""
+def blocks_of(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
+    """The nodes of the block tree, parents first, and its blocks of text (with characters in links) in page order, without what is left out."""
     root = here = Node("", None, False, 0.0)
     nodes = [root]
-    found: list[tuple[Node, str]] = []
+    found: list[tuple[Node, str, int]] = []
+    hidden: list[tuple[str, Node]] = []  # open elements of HIDDEN, each with the block that it stands in
     text: list[str] = []
     linked = 0
     in_link = False
@@ -118,18 +124,25 @@ def blocks_of(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         if text:
             block = " ".join("".join(text).split())
             if block and not here.out:
-                found.append((here, block))
+                found.append((here, block, min(linked, len(block))))
                 here.chars += len(block)
                 here.linked += min(linked, len(block))
             text.clear()
         linked = 0
 
+    def ended(tags: frozenset[str] | set[str]) -> None:
+        """Closes the innermost open hidden element of these tags and what is open in it."""
+        for i in range(len(hidden) - 1, -1, -1):
+            if hidden[i][0] in tags:
+                del hidden[i:]
+                return
+
     at, end = 0, len(html)
     while at < end:
         cut = html.find("<", at)
         if cut < 0:
             cut = end
-        if cut > at:
+        if cut > at and not hidden:
             piece = unescape(html[at:cut])
             text.append(piece)
             if in_link:
@@ -141,7 +154,8 @@ def blocks_of(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             continue
         m = _TAG.match(html, cut)
         if m is None:  # the sign opens no tag, so it is text
-            text.append("<")
+            if not hidden:
+                text.append("<")
             at = cut + 1
             continue
         close = _QUOTED.match(html, m.end()) if quotes_hold else None
@@ -158,31 +172,52 @@ def blocks_of(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 stop = re.compile(rf"</{tag}\b[^>]*+>", re.I).search(html, at)
                 at = stop.end() if stop else end
             continue
+        if tag in HIDDEN or hidden and tag == "foreignobject":
+            if closing or tag == "button":  # no button stands in another
+                ended({tag})
+            if not closing and not attributes.endswith("/") and len(hidden) < DEEPEST:
+                hidden.append((tag, here))
+            continue
+        if hidden and closing and tag in ("math", "semantics"):
+            ended({"annotation", "annotation-xml"})
         if tag == "br":
-            text.append(" ")
+            if not hidden:
+                text.append(" ")
         elif tag == "a":
             in_link = not closing
         if tag not in BLOCK:
             continue
-        flush()
-        node = here
         if closing:
-            in_link = False
+            node = here
             while node is not root and node.tag != tag:
                 node = node.parent
+            if node is root and hidden:
+                continue
+            flush()
+            in_link = False
             if node is not root:
                 here = node.parent
+                while hidden and hidden[-1][1].depth > here.depth:
+                    hidden.pop()
             continue
-        if tag in NO_P_INSIDE and here.tag == "p":
+        while hidden and hidden[-1][0] in FOREIGN:
+            hidden.pop()
+        flush()
+        node = here
+        floor = hidden[-1][1].depth if hidden else -1  # what is open outside a hidden element isn't closed by a start tag in it
+        if here.tag == "head" and here.depth > floor:
+            here = here.parent
+        elif tag in NO_P_INSIDE and here.tag == "p" and here.depth > floor:
             here = here.parent
         elif tag in CLOSES:
             kinds, barriers = CLOSES[tag]
-            while node is not root and node.tag not in kinds and node.tag not in barriers:
+            while node.depth > floor and node is not root and node.tag not in kinds and node.tag not in barriers:
                 node = node.parent
-            if node.tag in kinds:
+            if node.depth > floor and node.tag in kinds:
                 here = node.parent
         if tag not in VOID:
             here = opened(tag, attributes, here if here.depth < DEEPEST else here.parent)
+            here.out = here.out or bool(hidden)
             nodes.append(here)
     flush()
     for node in reversed(nodes[1:]):
@@ -197,7 +232,7 @@ def main_text(html: str | None) -> str:
     if not found:
         return ""
     scored: dict[int, Node] = {}
-    for node, block in found:
+    for node, block, _ in found:
         points = (len(block) >= 25) + block.count(",") + min(len(block) / 100, 3.0) + 0.1
         up = node.parent if node.tag in ("p", "pre", "blockquote", "li", "td", "dd") and node.parent is not None else node
         for share in (1.0, 0.5, 1 / 3):
@@ -213,16 +248,19 @@ def main_text(html: str | None) -> str:
         above = above.parent
     if above is not None:
         above.kept = True
-    else:
-        top.kept = True
-        for node in nodes:
-            if node.parent is not None and node.parent is top.parent:
-                light = 0 < node.chars and node.linked <= 0.25 * node.chars
-                good = worth.get(id(node), 0.0) >= max(10.0, 0.2 * worth[best])
-                node.kept |= good or light and node.tag in ("p", "h1", "h2", "h3")
+        for node in nodes[1:]:
+            node.kept |= node.parent.kept
+        return "\n".join(block for node, block, _ in found if node.kept)
+    top.kept = True
+    up, around = top.parent, set()
+    while up is not None:
+        around.add(id(up))
+        up = up.parent
+    # Whole elements are kept that consist of little link text; in others each part is judged by itself.
     for node in nodes[1:]:
-        node.kept |= node.parent.kept
-    return "\n".join(block for node, block in found if node.kept)
+        good = node.parent is top.parent and worth.get(id(node), 0.0) >= max(10.0, 0.2 * worth[best])
+        node.kept |= node.parent.kept or good or id(node) not in around and node.linked <= LIGHT * node.chars
+    return "\n".join(block for node, block, linked in found if node.kept or linked <= LIGHT * len(block))
 
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

@@ -46,3 +46,33 @@ def test_frame(spark):
     got = sorted((r.page_id, r.text) for r in html_main.extract(pages).collect())
     assert got == [(1, "a"), (1, "a"), (2, "")]
     assert html_main.extract(pages.limit(0)).count() == 0
+
+
+def test_all_sections_of_pages_without_article():
+    long, short = "<p>Some words, and some more, and yet more of them.</p>" * 10, "<p>" + "A short section of the same article, " * 3 + "</p>"
+    menu = "<div><ul><li><a href=/a>One page</a></li><li><a href=/b>Other page</a></li></ul></div>"
+    rest = f"<ul><li>First point</li></ul><table><tr><td>Cell</td></tr></table><blockquote>Said</blockquote>{menu}"
+    for html in (
+        f"<div><div>{long}</div><div>{short * 2}</div>{rest}</div>",
+        f"<div><div><div>{long}</div></div><div><div>{short * 2}</div></div></div>{rest}",
+    ):
+        lines = html_main.main_text(html).split("\n")
+        assert len(lines) == 15 and lines[10:] == [("A short section of the same article, " * 3).strip()] * 2 + ["First point", "Cell", "Said"]
+    assert html_main.main_text(f"<body>Before, all by itself. <a href=/>x</a><div>{long}</div>After.</body>").split("\n")[::11] == ["Before, all by itself. x", "After."]
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<p>Let <math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding='tex'>x=1</annotation></semantics></math> be.</p>", "Let x=1 be."),
+        ("<p>a <object data=x>b</object> <canvas>c</canvas> <noscript>d</noscript></p>", "a b c d"),
+        ("<div><p>a <button>b</p><p>c</p></div><p>d</p>", "a\nc\nd"), ("<div>a <select><option>b</div><p>c</p>", "a\nc"),
+        ("<p>a <svg><text>b</text><p>c</p>", "a\nc"), ("<p>a <svg><g><svg>b</svg>c</svg> d</p>", "a d"),
+        ("<p>a <button>b<div>c</div></button> d</p>", "a\nd"), ("<ul><li>a<template><li>b</li></template></li><li>c</li></ul>", "a\nc"),
+        ("<article><p title='how a class=ad is hidden'>a</p><p data-x='role=form'>b</p><p title=\"style='display:none'\">c</p></article>", "a\nb\nc"),
+        ("<article><p title='x' class=\"ad\">a</p><p HIDDEN>b</p><p Style='display: none'>c</p><p>d</p></article>", "d"),
+        ("<html><head><title>t</title><body><p>a</p></body>", "a"), ("<article><p>a</p><script>b</p>", "a"),
+    ],
+)
+def test_nothing_else_is_lost(html, text):
+    assert html_main.main_text(html) == text
