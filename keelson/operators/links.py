@@ -2,10 +2,19 @@
 
 Everything is native: a page's links are an array from one regular expression, and
 scoring is a sum of CASE expressions in whole-stage code.
+
+An anchor may have its attributes in any order, case and quoting; it ends at its end
+tag, the next anchor or the end of the page.  Its label is its title (or aria-label)
+and its text without markup, white space made single.  Scored are the path of the URL
+that the href leads to from the page (or its <base>) and the label.  Anchors in
+comments, scripts, styles, titles and textareas are none; one without href is no
+link; character references stay as they are written.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,22 +34,88 @@ ASSET = r"\.(?:css|js|mjs|png|jpe?g|gif|svg|ico|webp|woff2?|ttf|map|zip|gz|tgz|m
 NEGATIVE = (
     r"pricing|login|log-?in|sign-?(?:in|up)|careers?|jobs|blog|press|privacy|terms|cookie|status\.|support/|contact"
 )
-LINK = r'<a href="([^"]*)"[^>]*>([^<]*)</a>'
+#: Sites that never document the API that is looked for.
+OFF_SITE = (
+    r"(?:^|\.)(?:linkedin\.com|twitter\.com|x\.com|facebook\.com|fb\.com|instagram\.com|youtube\.com|youtu\.be|tiktok\.com|"
+    r"reddit\.com|discord\.com|discord\.gg|t\.me|pinterest\.com|medium\.com|threads\.net|snapchat\.com|apps\.apple\.com|"
+    r"play\.google\.com|bsky\.app|mastodon\.social|wa\.me)$"
+)
+# Repeats of groups are possessive, and no start tag holds another start of its kind, so that no page costs stack or more than linear time.
+_INSIDE = r"""((?:[^<>"']++|"[^"]*+"|'[^']*+'|<(?!%s))*+)>"""
+_NO_MARKUP = r"(?is)<!--.*?(?:-->|\z)|<(script|style|title|textarea)(?=[\s/>]).*?(?:</\1\s*+>|\z)"
+ANCHOR = rf"(?is)<a(?=[\s/]){_INSIDE % r'a[\s/]'}(.*?)(?:</a\s*+>|(?=<a[\s/>])|\z)"
+BASE = rf"(?is)<base(?=[\s/]){_INSIDE % 'base'}"
+TAG = rf"(?is)</?[a-z]{_INSIDE % '/?[a-z]'}"
+ATTRIBUTE = r"""([^\s/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|\S++))?"""
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:"
+_BEFORE_PATH = "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?"
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def attribute(inside: Column, name: str) -> Column:
+    """The value of the first attribute of that name in a start tag, or null if there is none."""
+    at = F.array_position(F.transform(F.regexp_extract_all(inside, F.lit(ATTRIBUTE), F.lit(1)), lambda n: F.lower(n)), name)
+    value = lambda i: F.get(F.regexp_extract_all(inside, F.lit(ATTRIBUTE), F.lit(2)), (i - 1).cast("int"))
+    return bound(at, lambda i: F.when(i > 0, F.regexp_replace(value(i), r"""(?s)^(["'])(.*)\1$""", "$2")))
+
+
+def absolute(base: Column, href: Column) -> Column:
+    """Where an href leads from a URL; dot segments stay until the path is taken."""
+    path = F.regexp_extract(base, f"{_BEFORE_PATH}([^?#]*)", 1)
+    origin, folder = F.regexp_extract(base, _BEFORE_PATH, 0), F.regexp_extract(base, f"{_BEFORE_PATH}([^?#]*/)", 1)
+    return bound(
+        F.trim(F.regexp_replace(href, r"[\t\n\r\f]", " ")),
+        lambda h: F.when(h.rlike(_SCHEME), h)
+        .when(F.startswith(h, F.lit("//")), F.concat(F.regexp_extract(base, _SCHEME, 0), h))
+        .when(F.startswith(h, F.lit("/")), F.concat(origin, h))
+        .when(h.rlike("^(?:[?#]|$)"), F.concat(origin, path, h))
+        .otherwise(F.concat(origin, F.when((folder == "") & (origin != ""), "/").otherwise(folder), h)),
+    )
+
+
+def path_of(url: Column) -> Column:
+    """The path of a URL without dot segments."""
+    step = lambda kept, s: F.when(s == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))).otherwise(F.array_append(kept, s))
+    parts = lambda p: F.split(F.regexp_replace(p, r"/\.(?=/|$)", ""), "/")
+    plain = lambda p: F.array_join(F.aggregate(parts(p), F.array().cast("array<string>"), step), "/")
+    return bound(F.regexp_extract(url, f"{_BEFORE_PATH}([^?#]*)", 1), lambda p: F.when(p.rlike(r"/\.\.?(?:/|$)"), plain(p)).otherwise(p))
 
 
-def score(path: Column, label: Column) -> Column:
-    """How promising a link looks: the weights of the keywords in its path and label, at most HIGHEST."""
-    said = F.lower(F.concat(path, F.lit(" "), label))
-    points = sum((F.when(said.rlike(p), w).otherwise(0) for p, w in KEYWORDS), F.lit(0))
-    return F.when(F.lower(path).rlike(ASSET) | said.rlike(NEGATIVE), 0).otherwise(F.least(points, F.lit(HIGHEST)))
+def score(url: Column, label: Column) -> Column:
+    """How promising a link looks: the weights of the keywords in its URL's path and label, at most HIGHEST."""
+    host = lambda u: F.lower(F.regexp_extract(u, "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    elsewhere = lambda u: u.rlike(_SCHEME) & ~u.rlike("^(?i:https?):") | host(u).rlike(OFF_SITE)
+    points = lambda said: F.least(sum((F.when(said.rlike(p), w).otherwise(0) for p, w in KEYWORDS), F.lit(0)), F.lit(HIGHEST))
+    of_path = lambda path: F.when(F.lower(path).rlike(ASSET), 0).otherwise(
+        bound(F.lower(F.concat(path, F.lit(" "), label)), lambda said: F.when(said.rlike(NEGATIVE), 0).otherwise(points(said)))
+    )
+    return bound(url, lambda u: F.when(elsewhere(u), 0).otherwise(bound(path_of(u), of_path)))
 
 
 def links_of(pages: DataFrame) -> DataFrame:
-    """page_id, pos (from 0, in page order), href, label of every plain anchor."""
-    hrefs = F.regexp_extract_all("html", F.lit(LINK), F.lit(1))
-    labels = F.regexp_extract_all("html", F.lit(LINK), F.lit(2))
-    return pages.select("page_id", F.posexplode(F.arrays_zip(hrefs.alias("href"), labels.alias("label"))).alias("pos", "l")).select(
-        "page_id", "pos", F.col("l.href").alias("href"), F.col("l.label").alias("label")
+    """page_id, pos (from 0, in page order), href, label and url (where it leads) of every anchor with an href."""
+    markup = pages.select(
+        "page_id", F.regexp_replace("html", _NO_MARKUP, "").alias("html"), (F.col("url") if "url" in pages.columns else F.lit("")).alias("page_url")
+    )
+
+    def link(anchor: Column) -> Column:
+        text = F.regexp_replace(F.regexp_extract(anchor, ANCHOR, 2), TAG, "")
+        filled = lambda inside, name: F.nullif(attribute(inside, name), F.lit(""))
+        label = lambda inside: F.concat_ws(" ", F.coalesce(filled(inside, "title"), filled(inside, "aria-label")), text)
+        whole = lambda inside: F.struct(
+            attribute(inside, "href").alias("href"), F.trim(F.regexp_replace(label(inside), r"\s+", " ")).alias("label")
+        )
+        return bound(F.regexp_extract(anchor, ANCHOR, 1), whole)
+
+    found = F.filter(F.transform(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0)), link), lambda x: x["href"].isNotNull())
+    page_url = F.coalesce("page_url", F.lit(""))
+    base = F.coalesce(absolute(page_url, F.nullif(attribute(F.regexp_extract("html", BASE, 1), "href"), F.lit(""))), page_url)
+    return markup.select("page_id", base.alias("base"), F.posexplode(found).alias("pos", "l")).select(
+        "page_id", "pos", F.col("l.href").alias("href"), F.col("l.label").alias("label"), absolute(F.col("base"), F.col("l.href")).alias("url")
     )
 
 

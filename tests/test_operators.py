@@ -27,6 +27,23 @@ def test_links(spark):
     assert [score("/openapi.json"), score("/docs/api-reference", "API docs"), score("/pricing"), score("/swagger.css"), score("/x")] == [10, 12, 0, 0, 0]
 
 
+def test_links_in_any_form(spark):
+    html = """<a class=x href="/api">API</a><A HREF='/docs'>x <i>y</i></A><a name=n>no</a><!-- <a href="/c">c</a> --><script>"<a href='/s'>s</a>"</script>
+    <a href="/openapi.json"><b>OpenAPI</b>
+    spec</a><a title="Read > this" href=../reference?x=1>r<a data-x='href="/no"' href = "//x.com/api" aria-label="On X"></a><a href="https://blog.acme.com/api">d</a>
+    <a href="/v1/../app.js?v=2">api</a><a href="mailto:api@acme.com">api</a><a href="https://developers.acme.com/">here</a><a href="/swagger">cut"""
+    pages = spark.createDataFrame([(1, "https://acme.com/guide/a/b", html), (2, "https://medium.com/a", "<a href=/api>x</a>"), (3, None, None),
+        (4, "https://acme.com/", "<base href='https://acme.com/docs/'><a href=x>x</a>" + "<a ''''" * 5000)], "page_id int, url string, html string")
+    found = links.links_of(pages).withColumn("score", links.score(F.col("url"), F.col("label"))).orderBy("page_id", "pos").collect()
+    assert [(r.page_id, r.pos, r.href, r.label, r.score) for r in found] == [
+        (1, 0, "/api", "API", 5), (1, 1, "/docs", "x y", 4), (1, 2, "/openapi.json", "OpenAPI spec", 12), (1, 3, "../reference?x=1", "Read > this r", 7),
+        (1, 4, "//x.com/api", "On X", 0), (1, 5, "https://blog.acme.com/api", "d", 5), (1, 6, "/v1/../app.js?v=2", "api", 0), (1, 7, "mailto:api@acme.com", "api", 0),
+        (1, 8, "https://developers.acme.com/", "here", 0), (1, 9, "/swagger", "cut", 10), (2, 0, "/api", "x", 0), (4, 0, "x", "x", 4),
+    ]
+    paths = [one(spark, links.path_of(F.lit(u))) for u in ("https://a.b/x/../y/./z?q#f", "/../a", "//h", "a/b")]
+    assert paths == ["/y/z", "/a", "", "a/b"]
+
+
 def test_hosts_and_templates(spark):
     relation = lambda a, b: one(spark, matching.host_relation(F.lit(a), F.lit(b)))
     assert relation("api.acme.com", "acme.com") == matching.UNDER_SERVER and relation("acme.com", "api.acme.com") == matching.UNDER_TARGET
