@@ -3,8 +3,10 @@
 Each match of the split pattern is merged on its own.  A segment tree over the
 piece's byte positions keeps the smallest pair rank, leftmost on ties; one merge
 is three point updates of logarithmic cost, so a piece of n bytes takes
-O(n log n) whatever its content.  A node has sixteen children, as their minimum is
-one call; a piece of up to 17 bytes is a root over its leaves.
+O(n log n) whatever its content.  A long piece has a tree of its own, whose nodes have
+sixteen children, as their minimum is one call; pieces of up to 17 bytes are merged
+many at a time: each is a row that holds a binary tree of sixteen leaves, and a step
+merges one pair of every row, with point updates along the paths as array operations.
 
 Cases: a null text encodes to no ids (and decodes to empty bytes); an empty text
 likewise; very long texts are split lazily, so memory follows the ids only; equal
@@ -31,8 +33,8 @@ from keelson.llm.common import by_value, small_batches
 CHARS_AT_ONCE = 1 << 20
 #: Distinct pieces remembered by one task; beyond it the memory starts afresh (results don't depend on it).
 PIECE_MEMORY = 200_000
-#: Pieces of up to so many bytes are merged many at a time.
-SHORT_PIECE = 17
+#: Pieces of up to so many bytes are merged many at a time, in trees of LEAVES leaves and LEVELS levels above them.
+SHORT_PIECE, LEAVES, LEVELS = 17, 16, 4
 ROWS_AT_ONCE = 8192
 NEVER = 1 << 62
 
@@ -102,9 +104,8 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Merger:
     """Merges pieces by given ranks: long ones each in a tree of its own, short ones many at a time.
 
-    A short piece is a row of leaves below one root, and each step merges the least
-    pair of every row that has one left.  Only pairs of tokens occur, so a pair's
-    rank is looked up by the ids of its tokens.
+    Each step merges the least pair of every row that has one left.  Only pairs of
+    tokens occur, so a pair's rank is looked up by the ids of its tokens.
     """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
@@ -143,38 +144,50 @@ class Merger:
         return out
 
     def _merge_short(self, pieces: list[bytes]) -> list[bytes]:
+        """All pieces at once: a row is one piece's tree, node x of it above 2x and 2x + 1, its leaves from LEAVES on."""
         wide, n = SHORT_PIECE, len(pieces)
         sizes = np.array([len(p) for p in pieces])
         text = np.frombuffer(b"".join(p.ljust(wide, b"\0") for p in pieces), np.uint8).reshape(n, wide)
         token = self.bytes[text]
         place = np.arange(wide)
-        leaves = self.keys(token[:, :-1], token[:, 1:], place[:-1])
+        tree = np.full((n, 2 * LEAVES), NEVER)
+        leaves = tree[:, LEAVES:]
+        leaves[:] = self.keys(token[:, :-1], token[:, 1:], place[:-1])
         leaves[place[1:] >= sizes[:, None]] = NEVER
-        leaves = np.pad(leaves, ((0, 0), (0, 1)), constant_values=NEVER)
+        for x in range(LEAVES - 1, 0, -1):
+            np.minimum(tree[:, 2 * x], tree[:, 2 * x + 1], out=tree[:, x])
         alive = place < sizes[:, None]
         after = np.tile(np.arange(1, wide + 2, dtype=np.int8), (n, 1))
         before = np.tile(np.arange(-1, wide, dtype=np.int8), (n, 1))
         row = np.arange(n)
         while len(row):
-            top = leaves[row].min(axis=1)
+            top = tree[row, 1]
             some = top < NEVER
             row, top = row[some], top[some]
             i, merged = top & 31, top >> 5
-            gone = after[row, i]
+            gone = after[row, i].astype(np.int64)
             end = after[row, gone]
+            left = before[row, i].astype(np.int64)
             token[row, i] = merged
             alive[row, gone] = False
-            leaves[row, gone] = NEVER
             after[row, i] = end
             before[row, end] = i
-            leaves[row, i] = NEVER
+            # Three leaves change: that of the byte that went, that of the merged pair, that of the pair before it.
+            inner = gone < LEAVES
+            leaves[row[inner], gone[inner]] = NEVER
+            new = np.full(len(row), NEVER)
             more = end < sizes[row]
-            r, x = row[more], i[more]
-            leaves[r, x] = self.keys(merged[more], token[r, end[more]], x)
-            left = before[row, i]
+            new[more] = self.keys(merged[more], token[row[more], end[more]], i[more])
+            leaves[row, i] = new
             more = left >= 0
             r, x = row[more], left[more]
             leaves[r, x] = self.keys(token[r, x], merged[more], x)
+            # Point updates along the paths to the root, a level at a time for all rows.
+            trees = np.concatenate([row, row[inner], r])
+            at = np.concatenate([i, gone[inner], x]) + LEAVES
+            for _ in range(LEVELS):
+                at = at >> 1
+                tree[trees, at] = np.minimum(tree[trees, 2 * at], tree[trees, 2 * at + 1])
         ends = np.concatenate([[0], np.cumsum(alive.sum(axis=1))]) * 4
         ids = token[alive].astype(np.int32).tobytes()
         return [ids[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
@@ -284,7 +297,7 @@ def decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", out
     return small_batches(docs).withColumn(out, decode_column(F.col(f"`{ids}`"), ranks))
 
 
-def digests(docs: DataFrame, ids: str = "token_ids", decoded: str = "decoded") -> list[Column]:
+def digests(ids: str = "token_ids", decoded: str = "decoded") -> list[Column]:
     """Length and digests of an encoding, computed by the JVM."""
     return [
         F.size(ids).cast("long").alias("n_tokens"),

@@ -37,9 +37,12 @@ def alnum_words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), ALNUM_BREAK), "")
 
 
-def row_number_in_place() -> Column:
-    """A number per row that needs no shuffle; it only tells rows of one scan apart."""
-    return F.monotonically_increasing_id()
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, or it with underscores before it, so that it is no column of the frames."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

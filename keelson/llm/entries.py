@@ -22,9 +22,11 @@ BASE_RULES = (
 OWN_RULES = (("casino-win.example.com", "/", "block"), ("cheap-pills.example.com", "/", "block"))
 
 
-def _rules(spark: SparkSession, rules) -> DataFrame:
+def _rules(spark: SparkSession, *lists) -> DataFrame:
+    """Rules of lists in the order of their precedence, as a table."""
     return spark.createDataFrame(
-        [(h + p, h, p, a) for h, p, a in rules], "rule string, host string, path string, action string"
+        [(h + p, h, p, a, rank) for rank, rules in enumerate(lists) for h, p, a in rules],
+        "rule string, host string, path string, action string, rank int",
     )
 
 
@@ -35,21 +37,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    base = url_filter.judge(pages, _rules(spark, BASE_RULES), default="none")
-    own = url_filter.judge(
-        base.withColumnsRenamed({"host": "h", "path": "p", "rule": "r", "verdict": "v"}), _rules(spark, OWN_RULES)
-    )
-    return own.select(
-        "page_id", "host", "path", F.col("r").alias("rule"),
-        F.when(F.col("v") == "none", F.col("verdict")).otherwise(F.col("v")).alias("verdict"),
-    )
+    judged = url_filter.judge(pages, _rules(spark, BASE_RULES, OWN_RULES))
+    return judged.select("page_id", "host", "path", F.when(F.col("rule_rank") == 0, F.col("rule")).alias("rule"), "verdict")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str, rank_file: str | None = None) -> DataFrame:
     ranks = bpe.load_ranks(rank_file or public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("text")
-    return bpe.decode(ids, ranks).select("doc_id", *bpe.digests(ids))
+    return bpe.decode(ids, ranks).select("doc_id", *bpe.digests())
 
 
 def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +101,6 @@ def op10_quality_ledger(spark: SparkSession, sf_dir: str, policy: str = "prose-1
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed.alias("base_failed"),
         (~base_failed & quality_ledger.passes(policy)).alias("kept"),
-        "failed_bits",
     )
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from keelson.llm.common import by_value, small_batches
+from keelson.llm.common import by_value, fresh, small_batches
 
 UNKNOWN = "und"
 WINDOW = 256
@@ -213,11 +213,11 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text") -> DataFr
     """``docs`` with lang_pred and score."""
     if {c.lower() for c in docs.columns} & {"lang_pred", "score"}:
         raise ValueError("columns lang_pred or score are there already")
-    got = small_batches(docs).withColumn("prediction_of_row", predict_column(F.col(f"`{text}`"), net))
+    held = fresh("prediction", docs)
+    got = small_batches(docs).withColumn(held, predict_column(F.col(f"`{text}`"), net))
     return got.select(
-        *(F.col(f"`{c}`") for c in docs.columns),
-        F.col("prediction_of_row.lang").alias("lang_pred"), F.col("prediction_of_row.score").alias("score"),
-    )
+        *(F.col(f"`{c}`") for c in docs.columns), F.col(f"{held}.lang").alias("lang_pred"), F.col(f"{held}.score").alias("score")
+    )
 
 
 by_value(__name__)

@@ -16,29 +16,30 @@ _WORDS = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'AB
 
 
 def _license_sql() -> str:
-    from keelson.llm.license_scan import BASE_PHRASES, COVER, DRIFT, NOTICES
+    from keelson.llm.license_scan import BASE_PHRASES, COVER, DRIFT, GRAM, NOTICES
 
     lines = [f"({n}, '{t}', '{x}', {b})" for n, (t, x, b) in enumerate(
         [(*x, "true") for x in BASE_PHRASES] + [(*x, "false") for x in NOTICES])]
     return f"""
 WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
 t(template, phrase, label, is_base) AS (VALUES {", ".join(lines)}),
-g AS (SELECT template, label, is_base, len(string_split(phrase, ' ')) - 1 AS grams, i AS place,
-             string_split(phrase, ' ')[i + 1] || ' ' || string_split(phrase, ' ')[i + 2] AS gram
-      FROM (SELECT *, unnest(range(len(string_split(phrase, ' ')) - 1)) AS i FROM t)),
-k AS (SELECT doc_id, i, words[i + 1] || ' ' || words[i + 2] AS gram
-      FROM (SELECT doc_id, words, unnest(range(len(words) - 1)) AS i FROM w)),
-v AS (SELECT doc_id, template, label, is_base, grams, i - place AS diagonal, count(DISTINCT place) AS votes
-      FROM k JOIN g USING (gram) GROUP BY ALL),
-m AS (SELECT *, least(sum(votes) OVER near, grams) AS near, votes = max(votes) OVER near AS best FROM v
+u AS (SELECT *, string_split(phrase, ' ') AS own, CASE WHEN is_base THEN 2 ELSE least({GRAM}, len(string_split(phrase, ' '))) END AS width FROM t),
+g AS (SELECT template, label, is_base, width, len(own) AS n_template, i AS place, array_to_string(list_slice(own, i + 1, i + width), ' ') AS gram
+      FROM (SELECT *, unnest(range(len(own) - width + 1)) AS i FROM u)),
+k AS (SELECT doc_id, width, i, array_to_string(list_slice(words, i + 1, i + width), ' ') AS gram
+      FROM (SELECT doc_id, words, width, unnest(range(len(words) - width + 1)) AS i FROM w, (SELECT DISTINCT width FROM g) n)),
+v AS (SELECT doc_id, template, label, is_base, n_template, width, i - place AS diagonal, list(DISTINCT place) AS ats
+      FROM k JOIN g USING (width, gram) GROUP BY ALL),
+m AS (SELECT *, len(list_distinct(flatten(list_transform(flatten(list(ats) OVER near), lambda x: range(x, x + width))))) AS verified,
+             len(ats) = max(len(ats)) OVER near AS best FROM v
       WINDOW near AS (PARTITION BY doc_id, template ORDER BY diagonal RANGE BETWEEN {DRIFT} PRECEDING AND {DRIFT} FOLLOWING)),
-f AS (SELECT *, is_base AND votes = grams AS place,
-             CASE WHEN is_base THEN votes = grams ELSE best AND near >= {COVER} * grams END AS found FROM m),
+f AS (SELECT *, is_base AND len(ats) = n_template - 1 AS place,
+             CASE WHEN is_base THEN len(ats) = n_template - 1 ELSE best AND verified >= {COVER} * n_template END AS found FROM m),
 r AS (SELECT doc_id, count(*) FILTER (place) AS n_base, min(diagonal) FILTER (place) AS first_word,
              max(diagonal) FILTER (place) AS last_word,
              array_to_string(list_sort(list_distinct(list(label) FILTER (place))), ',') AS base_labels,
              array_to_string(list_sort(list_distinct(list(label) FILTER (found))), ',') AS labels,
-             max(near::DOUBLE / grams) FILTER (found) AS score FROM f GROUP BY doc_id)
+             max(verified::DOUBLE / n_template) FILTER (found) AS score FROM f GROUP BY doc_id)
 SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
        last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
        coalesce(score, 0.0)::DOUBLE AS score
@@ -86,7 +87,7 @@ WITH {_URLS}, rules(rhost, rpath, action, own) AS (
          ('cheap-pills.example.com', '/', 'block', 1)),
 fits AS (
   SELECT u.host, u.path, r.rhost || r.rpath AS rule, action, own,
-         row_number() OVER (PARTITION BY u.host, u.path, own ORDER BY length(rhost) + length(rpath) DESC) AS n
+         row_number() OVER (PARTITION BY u.host, u.path, own ORDER BY length(rhost) + length(rpath) DESC, length(rhost) DESC, action DESC) AS n
   FROM (SELECT DISTINCT host, path FROM urls) u JOIN rules r
     ON (u.host = rhost OR ends_with(u.host, '.' || rhost)) AND starts_with(u.path, rpath))
 SELECT page_id, urls.host, urls.path, b.rule AS rule, coalesce(b.action, o.action, 'allow') AS verdict
@@ -118,7 +119,7 @@ b AS (
          + 128 * (word_chars > 20 * n_words)::INT AS bits FROM m)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, (bits & 3) <> 0 AS base_failed,
-       bits = 0 AS kept, bits::BIGINT AS failed_bits
+       bits = 0 AS kept
 FROM b
 """,
 }

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from keelson.llm.common import by_value, small_batches
+from keelson.llm.common import by_value, fresh, small_batches
 
 SYMBOLS = "#*$%&|<>"
 BLANK_CHARS = " \t\n\x0b\x0c\r"
@@ -111,7 +111,7 @@ def ledger(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     clash = {c.lower() for c in docs.columns} & {*MEASURES, "failed_bits"}
     if clash:
         raise ValueError(f"columns {sorted(clash)} are there already")
-    held = "measures_of_row"
+    held = fresh("measures", docs)
     out = small_batches(docs).withColumn(held, _measures(F.col(f"`{text}`")))
     out = out.select(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"{held}.{m}").alias(m) for m in MEASURES))
     return out.withColumn("failed_bits", failure_bits(rules))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from keelson.llm.common import by_value, settle, small_batches
+from keelson.llm.common import by_value, fresh, settle, small_batches
 from keelson.llm.components import components
 
 LINK_BITS = 2
@@ -255,12 +255,13 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", link_bit
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", link_bits: int = LINK_BITS) -> DataFrame:
     """One row of ``docs`` for each group: that of the least doc_id; of equal rows one stays."""
     grouped = groups(docs, doc_id, text, link_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stays_id, stays_hash = fresh("stays_id", docs), fresh("stays_hash", docs)
     stays = settle(
         grouped.groupBy("group")
         .agg(F.min(F.struct("doc_id", "text_hash")).alias("k"), F.count(F.lit(1)).alias("n"))
-        .select(F.col("k.doc_id").alias("stays_id"), F.col("k.text_hash").alias("stays_hash"), "n")
+        .select(F.col("k.doc_id").alias(stays_id), F.col("k.text_hash").alias(stays_hash), "n")
     )
-    key = F.col(f"`{doc_id}`").eqNullSafe(F.col("stays_id")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("stays_hash"))
+    key = F.col(f"`{doc_id}`").eqNullSafe(F.col(stays_id)) & (F.xxhash64(F.col(f"`{text}`")) == F.col(stays_hash))
     kept = docs.join(stays.drop("n"), key, "left_semi")
     # Only a repeated row can still be there twice; where none is, the texts needn't be shuffled again.
     return kept if stays.where("n > 1").isEmpty() else kept.dropDuplicates([doc_id, text])

@@ -1,16 +1,20 @@
 """Operator 2: URL filters, in DataFrame operations only.
 
-A URL is expanded into its host suffixes (at dots) and its path prefixes (of the
-lengths that the rules have).  Each expression's short hash prefix is equi-joined
-with the rules'; the full digest is compared on what meets, and the longest rule
-wins.  Only distinct (host, path) pairs are judged, so a host that holds a third
-of all rows costs no more than its distinct paths.
+A URL is expanded into its host suffixes (at dots) and, for each, its path prefixes of
+the lengths that rules with so many labels have; these lengths come from a small
+joined table, not from the driver.  Each expression's short hash prefix is equi-joined
+with the rules'; the full digest is compared on what meets, and precedence decides.
+Only distinct (host, path) pairs are judged, so a host that holds a third of all rows
+costs no more than its distinct paths.
+
+Precedence: the list of the least ``rank``; in it the longest rule (host and path
+together), then the longer host, then ``block``, then the rule's text.
 
 Cases: a null URL or one without ``://`` has an empty host and path and no rule
-fits it; a rule listed twice counts once, and of two actions for the same rule
-``block`` wins; rows with equal URLs get equal verdicts, repeated rows stay
-repeated; extra columns pass through, clashing output names are refused; empty
-tables of URLs or rules give empty results or the default verdict.
+fits it; a rule listed twice in a list counts once, and of two actions for the same
+rule ``block`` wins; rows with equal URLs get equal verdicts, repeated rows stay
+repeated; extra columns of any other name pass through, clashing output names are
+refused; empty tables of URLs or rules give empty results or the default verdict.
 """
 
 from __future__ import annotations
@@ -18,9 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import ascii_lower
+from keelson.llm.common import ascii_lower, fresh
 
-#: Rules of up to so many bytes (rows times BYTES_A_RULE) are broadcast; more are joined by a shuffle.
+#: Rules of up to so many bytes (their texts and BYTES_A_RULE for each) are broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 BYTES_A_RULE = 200
 #: Hex digits of the short hash prefix.
@@ -38,68 +42,60 @@ def path_of(url: Column) -> Column:
 
 
 def hash_rules(rules: DataFrame) -> DataFrame:
-    """Rules (rule, host, path, action) with short and full digests; one row for each (host, path)."""
+    """Rules (rule, host, path, action) with short and full digests; one row for each (rank, host, path)."""
+    rank = F.col("rank") if "rank" in rules.columns else F.lit(0)
     return (
-        rules.groupBy("host", "path")
+        rules.groupBy(rank.alias("rule_rank"), F.col("host").alias("rule_host"), F.col("path").alias("rule_path"))
         .agg(F.max("action").alias("action"), F.min("rule").alias("rule"))
         .select(
-            F.sha2(F.concat("host", F.lit("\n"), "path"), 256).alias("rule_digest"),
-            (F.length("host") + F.length("path")).alias("rule_length"),
-            F.size(F.split("host", r"\.")).alias("labels"),
-            F.length("path").alias("path_length"),
-            "rule", "action",
+            F.sha2(F.concat("rule_host", F.lit("\n"), "rule_path"), 256).alias("rule_digest"),
+            F.size(F.split("rule_host", r"\.")).alias("labels"),
+            F.length("rule_host").alias("host_length"),
+            F.length("rule_path").alias("path_length"),
+            "rule_rank", "rule", "action",
         )
         .withColumn("rule_short", F.left("rule_digest", F.lit(SHORT)))
     )
 
 
+def rule_bytes(rules: DataFrame) -> int:
+    """How much memory a rule table takes, about."""
+    texts = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("rule", "host", "path")), F.lit(BYTES_A_RULE))
+    return rules.agg(F.coalesce(F.sum(texts), F.lit(0)).alias("n")).first()["n"]
+
+
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
-    """``pages`` with host, path, rule and verdict.
+    """``pages`` with host, path, rule, rule_rank (null where no rule fits) and verdict.
 
-    ``rules`` has rule, host, path and action (allow or block).  The numbers of
-    labels and the path lengths that rules have are the only ones expanded: at
-    most labels x lengths expressions a URL.
+    ``rules`` has rule, host, path, action (allow or block) and maybe rank (0 where it
+    is missing).
     """
-    clash = {c.lower() for c in pages.columns} & {"host", "path", "rule", "verdict"}
+    clash = {c.lower() for c in pages.columns} & {"host", "path", "rule", "rule_rank", "verdict"}
     if clash:
         raise ValueError(f"columns {sorted(clash)} are there already")
     hashed = hash_rules(rules)
-    shape = hashed.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.collect_set("labels").alias("labels"),
-        F.collect_set("path_length").alias("lengths"),
-    ).first()
+    # Rows of this table differ in the number of labels only, so it's as small as hosts have labels.
+    shapes = hashed.groupBy("labels").agg(F.collect_set("path_length").alias("lengths"))
+    small = rule_bytes(rules) <= BROADCAST_BYTES
+    near = F.broadcast if small else lambda df: df
     split_urls = pages.withColumns({"host": host_of(F.col(f"`{url}`")), "path": path_of(F.col(f"`{url}`"))})
-    if not shape["n"]:
-        return split_urls.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    suffixes = F.array(
-        *(
-            F.when(F.size(F.split("host", r"\.")) >= k, F.substring_index("host", ".", -k))
-            for k in sorted(shape["labels"])
-        )
-    )
-    prefixes = F.array(
-        *(F.when(F.length("path") >= k, F.left("path", F.lit(k))) for k in sorted(shape["lengths"]))
-    )
     expressions = (
         split_urls.select("host", "path")
         .distinct()
-        .withColumn("suffix", F.explode(suffixes))
-        .where("suffix IS NOT NULL")
-        .withColumn("prefix", F.explode(prefixes))
-        .where("prefix IS NOT NULL")
-        .withColumn("digest", F.sha2(F.concat("suffix", F.lit("\n"), "prefix"), 256))
+        .withColumn("labels", F.explode(F.sequence(F.lit(1), F.size(F.split("host", r"\.")))))
+        .join(near(shapes), "labels")
+        .withColumn("length", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))))
+        .select(
+            "host", "path",
+            F.sha2(F.concat(F.call_function("substring_index", F.col("host"), F.lit("."), -F.col("labels")), F.lit("\n"), F.left("path", F.col("length"))), 256).alias("digest"),
+        )
         .withColumn("short", F.left("digest", F.lit(SHORT)))
-    )
-    small = shape["n"] * BYTES_A_RULE <= BROADCAST_BYTES
-    met = expressions.join(F.broadcast(hashed) if small else hashed, F.col("short") == F.col("rule_short"))
-    won = (
-        met.where("digest = rule_digest")
-        .groupBy("host", "path")
-        .agg(F.max_by(F.struct("rule", "action"), "rule_length").alias("won"))
-    )
-    return (
-        split_urls.join(won, ["host", "path"], "left")
-        .withColumns({"rule": F.col("won.rule"), "verdict": F.coalesce("won.action", F.lit(default))})
-        .select(*(F.col(f"`{c}`") for c in pages.columns), "host", "path", "rule", "verdict")
-    )
+    )
+    met = expressions.join(near(hashed), F.col("short") == F.col("rule_short")).where("digest = rule_digest")
+    order = F.struct(-F.col("rule_rank"), F.col("host_length") + F.col("path_length"), "host_length", "action", "rule")
+    held = fresh("won", pages)
+    won = met.groupBy("host", "path").agg(F.max_by(F.struct("rule", "rule_rank", "action"), order).alias(held))
+    return split_urls.join(won, ["host", "path"], "left").select(
+        *(F.col(f"`{c}`") for c in pages.columns), "host", "path", F.col(f"{held}.rule").alias("rule"),
+        F.col(f"{held}.rule_rank").alias("rule_rank"), F.coalesce(F.col(f"{held}.action"), F.lit(default)).alias("verdict"),
+    )

@@ -39,6 +39,16 @@ def test_url_filter(spark, monkeypatch, limit):
         url_filter.judge(pages.withColumnRenamed("short", "Rule"), _rules(spark, BASE_RULES))
 
 
+def test_url_precedence_and_clashes(spark):
+    rules = [("a.b/", "a.b", "/", "allow"), ("b/xx", "b", "/xx", "block"), ("c/", "c", "/", "allow"), ("c/", "c", "/", "block")]
+    rules = spark.createDataFrame(rules, "rule string, host string, path string, action string")
+    pages = spark.createDataFrame([("http://a.b/xx", 1, 2), ("http://c/", 3, 4), ("http://d/", 5, 6)], "url string, won int, digest int")
+    got = {r.url: (r.won, r.digest, r.rule, r.verdict) for r in url_filter.judge(pages, rules, default="none").collect()}
+    assert got == {"http://a.b/xx": (1, 2, "a.b/", "allow"), "http://c/": (3, 4, "c/", "block"), "http://d/": (5, 6, None, "none")}
+    ranked = rules.selectExpr("*", "CASE host WHEN 'b' THEN 0 ELSE 1 END AS rank")
+    assert {r.url: r.rule for r in url_filter.judge(pages, ranked).collect()}["http://a.b/xx"] == "b/xx"
+
+
 def words_of(text):
     lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     return [w for w in re.split("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", lowered) if w]
@@ -64,9 +74,47 @@ def test_license_scan(spark):
         assert 0 <= row.score <= 1
     labels = {r.doc_id: r.labels for r in got}
     assert labels[6] == "cc-by-nc" and labels[7] == "mit" and labels[8] == "" and labels[4] == "apache"
+    assert [r.score for r in got if r.doc_id == 6] == [1.0]
     assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def plain_notices(text):
+    """Labels of notices: some stretch where enough of the template's words stand on grams at their places, up to the drift."""
+    words, found = words_of(text), set()
+    for phrase, label in license_scan.NOTICES:
+        own = phrase.split()
+        width = min(license_scan.GRAM, len(own))
+        at = {}
+        for i in range(len(words) - width + 1):
+            for j in range(len(own) - width + 1):
+                if words[i : i + width] == own[j : j + width]:
+                    at.setdefault(i - j, set()).add(j)
+        for d in at:
+            near = [x for e in at if abs(d - e) <= license_scan.DRIFT for x in at[e]]
+            best = all(len(at[d]) >= len(at[e]) for e in at if abs(d - e) <= license_scan.DRIFT)
+            if best and len({j + k for j in near for k in range(width)}) >= license_scan.COVER * len(own):
+                found.add(label)
+    return found
+
+
+def test_notices_against_a_plain_version(spark):
+    rng = random.Random(3)
+    texts = ["licensed under cc by cc by 4", "Licensed under CC BY 4.0", None, "x " * 3000 + "licensed under cc by sa 4 0"]
+    for phrase, _ in license_scan.NOTICES * 3:
+        own = phrase.split()
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(own))
+            own[at : at + rng.randrange(2)] = rng.choice(([], ["one"], ["of", "the"]))
+        texts.append("so " * rng.randrange(3) + " ".join(own) + " and more")
+    docs = spark.createDataFrame([(i, t, "y") for i, t in enumerate(texts)], "doc_id long, text string, gram string")
+    got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    base = {label for _, label in license_scan.BASE_PHRASES}
+    for i, text in enumerate(texts):
+        wanted = plain_notices(text) | set(got[i].base_labels.split(",")) - {""}
+        assert set(got[i].labels.split(",")) - {""} == wanted, (text, base)
+    assert got[0].labels == "" and got[1].labels == "cc-by" and got[3].labels == "cc-by-sa"
+
+
 def plain_contamination(text, items, width=13):
     words = words_of(text)
     hit, names = set(), set()
