@@ -43,7 +43,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("text")
     decoded = bpe.decode(ids, ranks)
-    return decoded.select("doc_id", "lang", "source", "token_ids", *bpe.digests(decoded))
+    return decoded.select("doc_id", "lang", "source", "token_ids", *bpe.digests())
 
 
 STAGES = [
