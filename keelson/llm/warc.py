@@ -38,6 +38,8 @@ from keelson.llm.common import by_value, ensure_checkpoint_dir, settle, small_ba
 #: Fixed values of the WARC format.
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Fields of our own: the page a record is of, and the page that a revisit refers to.
+PAGE, REFERS_TO_PAGE = "X-Page-ID", "X-Refers-To-Page-ID"
 INDEX_SCHEMA = (
     "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, "
     "archive string, offset long, length long"
@@ -60,39 +62,57 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def target(url: str | None) -> str:
+    """A URL as a header may hold it."""
+    return quote(url or "about:blank", safe=":/?#[]@!$&()*+,;=%~")
+
+
 def record(
-    page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str, revisit: bool
+    place: str, page_id: int | None, url: str | None, payload: bytes, n: int, digest: str, response: tuple | None, date: str
 ) -> bytes:
-    """One record as a gzip member; a revisit has the HTTP header only."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
-    block = http.encode() + (b"" if revisit else payload)
+    """One record as a gzip member; ``place`` (archive and offset) makes its id unique.
+
+    ``response`` is None for a response, else (page_id, url) of the one that a revisit
+    refers to; a revisit has the HTTP header only, which gives the length of its payload.
+    """
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n"
+    block = http.encode() + (payload if response is None else b"")
     head = [
         VERSION,
-        f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Type: {'response' if response is None else 'revisit'}",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>",
         f"WARC-Date: {date}",
-        f"WARC-Target-URI: {quote(url or 'about:blank', safe=':/?#[]@!$&()*+,;=%~')}",
+        f"WARC-Target-URI: {target(url)}",
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
+        f"{PAGE}: {page_id}",
     ]
-    if revisit:
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+    if response is not None:
+        head += [
+            f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To-Target-URI: {target(response[1])}",
+            f"WARC-Refers-To-Date: {date}", f"{REFERS_TO_PAGE}: {response[0]}",
+        ]
     packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     whole = "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
     return packer.compress(whole) + packer.flush()
 
 
-def parse(packed: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields (names in lower case) and payload of one gzip member."""
+def fields_of(lines: list[str]) -> dict[str, str]:
+    """Header fields, names in lower case."""
+    return {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+
+
+def parse(packed: bytes) -> tuple[dict[str, str], int, bytes]:
+    """Header fields, the length that the payload has by its HTTP header, and the payload of one gzip member."""
     raw = zlib.decompress(packed, 31)
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if lines[0] != VERSION:
         raise ValueError(f"no record begins here: {lines[0][:40]!r}")
-    fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    block = rest[: int(fields["content-length"])]
-    return fields, block.partition(b"\r\n\r\n")[2]
+    fields = fields_of(lines[1:])
+    http, _, payload = rest[: int(fields["content-length"])].partition(b"\r\n\r\n")
+    return fields, int(fields_of(http.decode().split("\r\n")[1:])["content-length"]), payload
 
 
 def write(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -103,28 +123,29 @@ def write(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z") ->
     html = F.coalesce("html", F.lit(""))
     marked = small_batches(pages).select("page_id", "url", html.alias("html"), F.sha1(html).alias("sha"), F.octet_length(html).alias("n"))
     # Settled, so that the join shuffles both sides itself and a payload that a third of the pages have can be split.
-    first = settle(marked.groupBy("sha", "n").agg(F.max("page_id").alias("response")))
+    first = settle(marked.groupBy("sha", "n").agg(F.max("page_id").alias("response"), F.max_by("url", "page_id").alias("response_url")))
     revisit = ~F.col("page_id").eqNullSafe(F.col("response"))
     rows = marked.join(first, ["sha", "n"]).select(
-        "page_id", "url", F.when(~revisit, F.encode("html", "UTF-8")).alias("payload"),
-        F.col("n").cast("long").alias("n"), "sha", F.when(revisit, F.col("response")).alias("refers_to"), revisit.alias("revisit"),
+        "page_id", "url", F.when(~revisit, F.encode("html", "UTF-8")).alias("payload"), F.col("n").cast("long").alias("n"), "sha",
+        F.when(revisit, F.struct("response", "response_url")).alias("refers_to"),
     )
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, out, at = "", None, 0
         for batch in batches:
             found = []
-            for page_id, url, payload, n, sha, refers_to, again in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, url, payload, n, sha, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     system, base = opened(folder)
                     system.create_dir(base, recursive=True)
                     place = f"{base}/part-{uuid.uuid4().hex}.warc.gz"
                     out = system.open_output_stream(place, compression=None)
                 digest = base64.b32encode(bytes.fromhex(sha)).decode()
-                packed = record(page_id, url, payload or b"", digest, refers_to, date, again)
+                response = refers_to and (refers_to["response"], refers_to["response_url"])
+                packed = record(f"{place}#{at}", page_id, url, payload or b"", n, digest, response, date)
                 out.write(packed)
-                kind = "revisit" if again else "response"
-                found.append((page_id, url, kind, refers_to, digest, n, place, at, len(packed)))
+                kind = "revisit" if response else "response"
+                found.append((page_id, url, kind, response[0] if response else None, digest, n, place, at, len(packed)))
                 at += len(packed)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), INDEX_TYPES)], INDEX_NAMES)
@@ -158,8 +179,10 @@ def spans(rows: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[int]]]:
 def read(selected: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """Read the records of index rows: the index columns, the type and digest found there, and the payload (or null).
 
-    ``read_type`` and ``read_refers_to`` come from the record; ``read_digest`` is
-    computed over the payload read, and for a revisit taken from its header.
+    All ``read_`` columns come from the record: a response's digest and length are
+    computed over its payload, a revisit's are those of its headers, as it has none;
+    ``unmatched_revisits`` holds them against the response.  A record that differs from
+    its index row fails the task.
     """
     names = [*INDEX_NAMES, "read_type", "read_refers_to", "read_digest", "read_bytes", "payload"]
     schema = INDEX_SCHEMA + ", read_type string, read_refers_to long, read_digest string, read_bytes long, payload binary"
@@ -186,16 +209,16 @@ def read(selected: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
                     stretch, found = source.read(end - start), []
                     for i in held:
                         row = own[i]
-                        fields, payload = parse(stretch[row[7] - start : row[7] - start + row[8]])
+                        fields, n, payload = parse(stretch[row[7] - start : row[7] - start + row[8]])
                         said = fields["warc-payload-digest"].removeprefix("sha1:")
-                        kind, refers_to, digest, n = fields["warc-type"], None, said, row[5]
+                        kind, refers_to, digest = fields["warc-type"], None, said
                         if kind == "revisit":
-                            refers = fields["warc-refers-to"].removeprefix("<urn:page:").removesuffix(">")
+                            refers = fields[REFERS_TO_PAGE.lower()]
                             refers_to = None if refers == "None" else int(refers)
-                        else:
-                            digest, n = digest_of(payload), len(payload)
-                            if digest != said:
-                                raise ValueError(f"{place} at {row[7]}: the payload isn't what was written")
+                        elif digest_of(payload) != said or len(payload) != n:
+                            raise ValueError(f"{place} at {row[7]}: the payload isn't what was written")
+                        if (kind, refers_to, digest, n) != (row[2], row[3], row[4], row[5]):
+                            raise ValueError(f"{place} at {row[7]}: the record isn't what the index says")
                         found.append((*row, kind, refers_to, digest, n, payload if payloads else None))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names)
                 at = upto
@@ -207,6 +230,13 @@ def read(selected: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     return dealt.mapInArrow(get, schema)
 
 
+def unmatched_revisits(found: DataFrame) -> DataFrame:
+    """Revisits of records read whose response isn't among them, or has another digest or length."""
+    key = ["read_refers_to", "read_digest", "read_bytes"]
+    responses = found.where("read_type = 'response'").select(F.col("page_id").alias("read_refers_to"), "read_digest", "read_bytes")
+    return found.where("read_type = 'revisit'").join(responses, key, "left_anti")
+
+
 def new_folder(spark: SparkSession) -> str:
     """A folder for archives in the shared folder."""
     return f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"

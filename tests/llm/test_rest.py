@@ -24,6 +24,16 @@ def test_warc_round_trip(spark, tmp_path):
         assert (r.read_type, r.read_refers_to) == kind == (r.record_type, r.refers_to)
         assert r.read_digest == warc.digest_of(html.encode()) and r.read_bytes == len(html.encode())
         assert kind[0] == "revisit" or bytes(r.payload) == html.encode()
+    assert warc.unmatched_revisits(warc.read(index, folder)).count() == 0
+    assert warc.unmatched_revisits(warc.read(index.where("record_type = 'revisit'"), folder)).count() == sum(r.record_type == "revisit" for r in got)
+    ids = set()
+    for archive in {r.archive for r in got}:
+        raw = open(archive, "rb").read()
+        for r in (x for x in got if x.archive == archive):
+            fields, n, _ = warc.parse(raw[r.offset : r.offset + r.length])
+            ids.add(fields["warc-record-id"])
+            assert n == r.read_bytes and ("warc-refers-to-target-uri" in fields) == (r.read_type == "revisit")
+    assert len(ids) == len(rows)
     some = warc.read(index.where("page_id = 5"), folder).collect()
     assert len(some) == 1 and hashlib.sha1(some[0].payload).digest() == hashlib.sha1(rows[5][2].encode()).digest()
     assert warc.write(pages.limit(0), f"{tmp_path}/none").count() == 0
@@ -56,6 +66,28 @@ def test_language(spark, monkeypatch):
     assert all((a == b).all() for a, b in zip(net.filters, again.filters))
 
 
+def test_language_of_the_smallest_tables(spark):
+    """Held-out accuracy on real rows; columns named like the working ones pass through."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert_docs = docs.withColumn("prediction", F.lit(1))
+    found = lang_cnn.identify(assert_docs, lang_cnn.fit(docs)).where((lang_cnn.fold(F.col("doc_id")) == 2) & F.col("lang").isNotNull())
+    right, n = found.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count(F.lit(1))).first()
+    assert n > 100 and right >= 0.97 * n
+
+
+#: Digests of what was published; a change of a rule needs a new policy version (prose-1 is as of its last change).
+POLICY_DIGESTS = {"base-1": "c74cd54833f29d94", "prose-1": "b67de99ff1bedfe7"}
+
+
+def test_published_policies_stay():
+    """A policy's version stands for its mask and for the text of the rules it enforces."""
+    def digest(version):
+        rules = [f"{r.bit} {r.name} {r.fails}" for r in quality_ledger.RULES if quality_ledger.POLICIES[version] >> r.bit & 1]
+        return hashlib.sha256("\n".join(rules).encode()).hexdigest()[:16]
+
+    assert {v: digest(v) for v in quality_ledger.POLICIES} == POLICY_DIGESTS
+
+
 def plain_measures(text):
     text = text or ""
     words = [w for w in __import__("re").split("[\x20\x09-\x0d]+", text) if w]
@@ -87,6 +119,9 @@ def test_ledger_policies_and_ablation(spark):
         bits = [r.failed_bits for r in entries.collect()]
         assert row.n_kept == 2 and row.n_fail == sum(b >> bit & 1 for b in bits)
         assert row.n_kept_without == sum(b & ~(1 << bit) == 0 for b in bits)
+    none = quality_ledger.ablation(entries.limit(0), "prose-1").collect()
+    assert len(none) == len(quality_ledger.RULES) and all(r.n_fail == r.n_fail_only_this == r.n_kept == r.n_kept_without == 0 for r in none)
+    assert quality_ledger.ledger(docs.withColumn("measures", F.lit(1))).where("measures = 1").count() == len(texts)
     with pytest.raises(ValueError):
         quality_ledger.ledger(docs.withColumnRenamed("doc_id", "N_Words"))
 
