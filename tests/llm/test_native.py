@@ -131,7 +131,7 @@ def plain_contamination(text, items, width=13):
 
 @pytest.mark.parametrize("limit", [10**9, -1])
 def test_decontamination(spark, monkeypatch, limit):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
     rng = random.Random(8)
     vocabulary = ["a", "b", "c", "d", "é", "Éa"]
     say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
@@ -143,16 +143,48 @@ def test_decontamination(spark, monkeypatch, limit):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     got = sorted(str((r.doc_id, r.n_words, r.n_hit, r.n_items, r["items"], r.contaminated)) for r in decontaminate.judge(frame, benchmark).collect())
     assert got == sorted(str((i, *plain_contamination(t, items))) for i, t in docs)
-    kept = decontaminate.clean(frame.selectExpr("*", "1 AS n_words"), benchmark)
-    assert sorted(map(str, kept.collect())) == sorted(f"Row(doc_id={i}, text={t!r}, n_words=1)" for i, t in docs if not plain_contamination(t, items)[-1])
+    kept = decontaminate.clean(frame.selectExpr("*", "1 AS bad_id"), benchmark)
+    assert sorted(map(str, kept.collect())) == sorted(f"Row(doc_id={i}, text={t!r}, bad_id=1)" for i, t in docs if not plain_contamination(t, items)[-1])
     assert decontaminate.judge(frame.limit(0), benchmark).count() == 0
     assert decontaminate.judge(frame, benchmark.limit(0)).where("contaminated OR n_hit > 0").count() == 0
 
 
-def test_proximity(spark):
-    items = decontaminate.item_table(spark.createDataFrame([(1, "one two three four five")], "item_id long, text string"))
-    docs = spark.createDataFrame([(1, "one two three four five"), (2, "one two x three four five"), (3, "five x x x x x four three two one")], "doc_id long, text string")
-    wins = decontaminate.windows(items, decontaminate.corpus_counts(docs, items))
-    anchored = decontaminate.anchors(items, wins)
-    near = decontaminate.proximity_matches(decontaminate.postings(docs, anchored), wins, anchored, slop=1)
-    assert {1, 2} >= {r.doc_id for r in near.collect()} >= {1}
+def plain_near(text, items, counts, slop, width=13):
+    """(item, phrases met) by the two rarest words that the corpus has, tried at all their places."""
+    words, found = words_of(text), {}
+    for name, item in items:
+        own = words_of(item)
+        span = min(width, len(own))
+        met = set()
+        for s in range(len(own) - span + 1 if own else 0):
+            phrase = own[s : s + span]
+            ranked = sorted((counts[w], w, at) for at, w in enumerate(phrase) if w in counts)
+            if len(ranked) > 1:
+                (_, a, i), (_, b, j) = ranked[:2]
+                places = [(p, q) for p, w in enumerate(words) if w == a for q, v in enumerate(words) if v == b]
+                if any(abs((q - j) - (p - i)) <= slop for p, q in places):
+                    met.add(tuple(phrase))
+        if met:
+            found[str(name)] = len(met)
+    return found
+
+
+@pytest.mark.parametrize("slop", [0, 2])
+def test_proximity(spark, slop):
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choice("abcdefgh") + rng.choice("xy") for _ in range(n))
+    items = [(1, "one two three four five"), (2, say(16)), (3, say(13) + " nowhere"), (4, "five"), (5, "one two three four five")]
+    docs = [(1, items[0][1]), (2, "one two x three four five"), (3, "five x x x x x four three two one"), (4, None), (5, items[1][1].replace("a", "z"))]
+    docs += [(6, items[2][1].replace(" nowhere", " here")), (7, "one two three q five")] + [(i, say(40)) for i in range(10, 20)]
+    counts = {}
+    for _, text in docs:
+        for w in words_of(text):
+            counts[w] = counts.get(w, 0) + 1
+    names = {w for _, t in items for w in words_of(t)}
+    counts = {w: n for w, n in counts.items() if w in names}
+    frame, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {}
+    for r in decontaminate.near_items(frame, benchmark, slop).collect():
+        got.setdefault(r.doc_id, {})[r.item_id] = r.n
+    assert got == {i: near for i, t in docs if (near := plain_near(t, items, counts, slop))}
+    assert {"1", "5"} <= set(got[1]) and "3" in got[6] and (slop == 0 or "1" in got[2])
