@@ -2,18 +2,25 @@
 
 1. Patterns propose candidate spans: the four base kinds, and looser forms and
    further kinds (masked e-mail addresses, national phone numbers, card-like numbers
-   without a valid check digit, IBANs, social security numbers, titled names, dates).
+   without a valid check digit, IBANs, social security numbers, titled names, dates,
+   and access secrets such as tokens and passwords).
 2. Labelers vote for, against or not at all on each: format, checksum, context
    words before, gazetteer, adverse context, clean boundaries.
-3. Votes are counted by pattern (kind, votes, length class) over the whole corpus;
-   there are at most a few thousand patterns, whatever the corpus.
-4. Expectation-maximisation on these counts estimates each labeler's reliability
-   and a posterior for each pattern; a logistic span classifier is then trained on
-   the patterns, weighted by count, with the posteriors as soft labels.
-5. A second pass keeps the spans that the classifier accepts.  Base spans stay
-   always; an added span never overlaps a base one.  Candidates may overlap each
-   other: all are judged, and of the accepted ones that overlap the most probable
-   stays, then the longest.  Redaction covers every accepted one.
+3. Candidates are counted over the whole corpus by pattern: kind, votes, and features
+   of the span (length, shape) and of its surroundings (the characters beside it, the
+   form of the word before).  Each has a few classes, so the number of patterns is
+   bounded, whatever the corpus.
+4. Expectation-maximisation on the counts of votes estimates each labeler's
+   reliability and a posterior; a logistic span classifier is then trained on the
+   patterns, weighted by count, with the posteriors as soft labels.  Two spans with
+   equal votes differ by their features.
+5. The spans that the classifier accepts are kept.  Base spans stay always; an added
+   span never overlaps a base one.  Candidates may overlap each other: all are
+   judged, and of the accepted ones that overlap the most probable stays, then the
+   longest.  Redaction covers every accepted one.
+
+``find`` searches each text once: the candidates are written to the shared folder,
+counted there, and judged there.
 
 Cases: a null text counts as empty and has no spans; equal rows get equal spans;
 spans of one kind never overlap, and of two kinds at the same start the order of
@@ -33,11 +40,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from keelson.llm.common import by_value, small_batches
+from keelson.llm.common import by_value, fresh, settle, small_batches
 
 #: Base kinds in the order that decides ties, then the kinds that only the method adds.
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "ssn", "name", "birth")
+KINDS = (*BASE_KINDS, "iban", "ssn", "name", "birth", "secret")
 LABELERS = ("format", "checksum", "context", "gazetteer", "adverse", "boundary")
 ACCEPT = 0.5
 
@@ -60,6 +67,11 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DATE = re.compile(r"(?<![0-9./-])(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9./-])")
 _NAME = re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? [A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30})?")
+# What a sign of assignment gives to a word for secrets, and forms that issuers give their keys.
+_ASSIGNED = re.compile(r"[:=][ \t]{0,3}[\"']?([A-Za-z0-9_+=-]{12,128})(?![A-Za-z0-9_+=-])")
+_SECRET_WORD = re.compile(r"(?i)(?:token|secret|passwd|password|pwd|(?:api|access|auth|private)[ _-]?key|bearer)[\"']?[ \t]{0,3}\Z")
+_ISSUED = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,128}|xox[abp]-[A-Za-z0-9-]{10,128})(?![A-Za-z0-9])")
+_ISSUED_SIGNS = ("AKIA", "gho_", "ghp_", "ghs_", "ghu_", "sk-", "xox")
 _DIGIT = re.compile("[0-9]")
 
 #: Words that speak for a kind when they stand shortly before it.
@@ -72,16 +84,25 @@ CONTEXT = {
     "ssn": ("ssn", "social security", "insurance"),
     "name": ("name", "dear", "contact", "signed", "by "),
     "birth": ("born", "birth", "dob", "geboren", "naissance", "nacimiento", "né le", "née le"),
+    "secret": ("token", "secret", "passw", "pwd", "key", "auth", "bearer"),
 }
 #: Words that speak against personal data.
 ADVERSE = ("version", "isbn", "issn", "order", "invoice", "section", "build", "release", "serial", "page")
 #: Gazetteers: first words of names, and country codes of IBANs and phone numbers.
 GIVEN_NAMES = frozenset(
-    "James Mary John Anna Maria Peter Paul Laura David Sarah Thomas Julia Michael Emma Marie Jean Pierre Hans Karl "
-    "Sofia Carlos Juan Jose Luis Carmen Elena Robert Linda William Elizabeth Richard Susan Joseph Jessica".split()
+    "Adam Alice Amy Andrea Andrew Anna Anne Antonio Barbara Ben Brian Carlos Carmen Carol Charles Chen Chris Christian Claire Clara "
+    "Daniel David Diana Diego Donald Edward Elena Elizabeth Emily Emma Eric Eva Fatima Francis Frank Gabriel George Grace Hanna Hans "
+    "Helen Henry Ian Ingrid Isabel Ivan Jack James Jan Jane Jason Jean Jennifer Jessica Johann John Jorge Jose Joseph Juan Julia Karen "
+    "Karl Kate Kevin Klaus Laura Lea Lena Leon Linda Lisa Louis Lucas Lucia Luis Maria Marie Mark Martin Mary Max Michael Miguel "
+    "Mohammed Monica Nancy Nicolas Nina Noah Olga Oliver Oscar Pablo Patricia Paul Pedro Peter Philip Pierre Rachel Ralf Raul Rebecca "
+    "Richard Robert Rosa Ruth Samuel Sandra Sara Sarah Simon Sofia Sophie Stefan Stephen Steven Susan Teresa Thomas Tim Ursula Victor "
+    "Walter Wei William Yuki".split()
+)
+IBAN_COUNTRIES = frozenset("AD AE AT BA BE BG BH BR CH CY CZ DE DK EE ES FI FR GB GE GI GR HR HU IE IL IS IT KW LI LT LU LV MC MT NL NO PL PT RO RS SA SE SI SK TN TR".split())
+DIAL_CODES = tuple(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 "
+    "212 213 216 233 234 254 351 352 353 354 356 357 358 359 370 371 372 375 380 381 385 386 420 421 852 886 961 962 965 966 971 972 974".split()
 )
-IBAN_COUNTRIES = frozenset("AT BE CH CZ DE DK ES FI FR GB GR HU IE IT LU NL NO PL PT SE".split())
-DIAL_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "39", "41", "43", "44", "45", "46", "47", "48", "49", "61", "81", "86", "91")
 
 
 def luhn(digits: str) -> bool:
@@ -128,6 +149,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def loose_spans(text: str) -> list[tuple[str, int, int]]:
     """Further candidates."""
     found = [("name", *m.span()) for m in _NAME.finditer(text)]
+    found += [("secret", *m.span(1)) for m in _ASSIGNED.finditer(text) if _SECRET_WORD.search(text, max(0, m.start() - 24), m.start())]
+    if any(sign in text for sign in _ISSUED_SIGNS):
+        found += [("secret", *m.span()) for m in _ISSUED.finditer(text)]
     if "at)" in text or "at]" in text:
         found += [("email", *m.span()) for m in _MASKED.finditer(text)]
     if _DIGIT.search(text):
@@ -168,11 +192,14 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> str:
         gazetteer = "+" if span.rpartition(".")[2].lower() in ("com", "org", "net", "edu", "gov", "de", "fr", "es", "uk") else "0"
     elif kind == "name":
         gazetteer = "+" if GIVEN_NAMES & set(span.split()[1:]) else "0"
+    elif kind == "secret":  # letters and digits mixed, or one of the issued forms
+        checksum = "+" if digits and len(digits) < len(span) else "-"
+        gazetteer = "+" if _ISSUED.fullmatch(span) else "0"
     strict = kind == "phone" and span[0] == "+" or kind == "card" and checksum == "+" and len(digits) >= 14
     edges = text[start - 1 : start] + text[end : end + 1]
     return "".join(
         (
-            "+" if base or strict or kind in ("ssn", "iban") else "0",
+            "+" if base or strict or kind in ("ssn", "iban", "secret") else "0",
             checksum,
             "+" if any(w in before for w in CONTEXT[kind]) else "-" if kind == "birth" else "0",
             gazetteer,
@@ -182,6 +209,24 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> str:
     )
 
 
+def side(char: str) -> str:
+    """The class of a character beside a span."""
+    return "e" if not char else "s" if char.isspace() else "d" if char.isdigit() else "a" if char.isalpha() else "p" if char in ".,;:!?" else "q"
+
+
+def surroundings(text: str, start: int, end: int) -> str:
+    """Features of a span and its context, one class each: length, separators, digits, the sides, the word before."""
+    span = text[start:end]
+    separators = {c for c in span if not c.isalnum()}
+    shape = "0" if not separators else next((c for c in " -.@()" if separators == {c}), "m")
+    digits = sum(map(str.isdigit, span))
+    share = "0" if not digits else "1" if digits == len(span) else "h" if 2 * digits >= len(span) else "l"
+    before = text[max(0, start - 24) : start].rstrip()
+    word = before.rpartition(" ")[2]
+    form = "e" if not word else "c" if word[-1] in ":=#" else "d" if word[-1].isdigit() else "u" if word[0].isupper() else "w"
+    return f"{min((end - start) // 8, 5)}{shape}{share}{side(text[start - 1 : start])}{side(text[end : end + 1])}{form}"
+
+
 def clear(taken: list[tuple[int, int]], start: int, end: int) -> int | None:
     """Where a span goes among sorted disjoint ones, or None if it overlaps one."""
     at = bisect_left(taken, (end, 0))
@@ -201,12 +246,16 @@ def candidates(text: str) -> list[tuple[str, int, int, bool, str]]:
     out = []
     for kind, start, end, is_base in [(*x, True) for x in base] + [(*x, False) for x in added if clear(taken, *x[1:]) is not None]:
         said = votes(text, kind, start, end, is_base)
-        out.append((kind, start, end, is_base, f"{kind}|{said}|{min((end - start) // 8, 5)}"))
+        out.append((kind, start, end, is_base, f"{kind}|{said}|{surroundings(text, start, end)}"))
     return out
 
 
+def votes_of(pattern: str) -> str:
+    return pattern.rpartition("|")[0]
+
+
 def estimate(counts: dict[str, int], rounds: int = 60) -> dict[str, float]:
-    """Posterior that a pattern is personal data, by EM over labelers that err independently given the truth."""
+    """Posterior that a pattern (kind and votes) is personal data, by EM over labelers that err independently given the truth."""
     patterns = sorted(counts)
     n = np.array([counts[p] for p in patterns], dtype=float)
     cast = np.array([["+-0".index(v) for v in p.split("|")[1]] for p in patterns])  # patterns x labelers
@@ -223,44 +272,76 @@ def estimate(counts: dict[str, int], rounds: int = 60) -> dict[str, float]:
     return dict(zip(patterns, posterior.tolist()))
 
 
+#: Classes of each feature of ``surroundings``.
+CLASSES = ("012345", "0 -.@()m", "01hl", "esdapq", "esdapq", "ecduw")
+
+
 def features(pattern: str) -> list[float]:
-    kind, said, length = pattern.split("|")
-    return [1.0, *(float(kind == k) for k in KINDS), *(float(v == w) for v in said for w in "+-"), int(length) / 5]
+    kind, said, around = pattern.split("|")
+    return [
+        1.0, *(float(kind == k) for k in KINDS), *(float(v == w) for v in said for w in "+-"),
+        *(float(c == x) for c, classes in zip(around, CLASSES) for x in classes),
+    ]
 
 
 def train(counts: dict[str, int], steps: int = 400) -> dict[str, float]:
     """The span classifier's probability of each pattern: weighted logistic regression on the EM posteriors."""
     if not counts:
         return {}
-    soft = estimate(counts)
+    by_votes: dict[str, int] = {}
+    for p, n in counts.items():
+        by_votes[votes_of(p)] = by_votes.get(votes_of(p), 0) + n
+    soft = estimate(by_votes)
     patterns = sorted(counts)
     x = np.array([features(p) for p in patterns])
-    y = np.array([soft[p] for p in patterns])
+    y = np.array([soft[votes_of(p)] for p in patterns])
     w = np.log1p([counts[p] for p in patterns])
     w = w / w.sum()
     beta = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-x @ beta))
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         grad = x.T @ (w * (p - y)) + 1e-4 * beta
         curve = (x.T * (w * p * (1 - p))) @ x + 1e-3 * np.eye(len(beta))
         step = np.linalg.solve(curve, grad)
         beta -= step / max(1.0, float(np.abs(step).max()))
         if np.abs(step).max() < 1e-8:
             break
-    return dict(zip(patterns, (1 / (1 + np.exp(-x @ beta))).tolist()))
+    return dict(zip(patterns, (1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))).tolist()))
 
 
-def learn(docs: DataFrame, text: str = "text") -> dict[str, float]:
-    """Count the patterns of all candidates of all texts, and train on the counts."""
+CANDIDATE = StructType(
+    [
+        StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType()),
+        StructField("is_base", BooleanType()), StructField("pattern", StringType()),
+    ]
+)
+CANDIDATE_ARROW = pa.list_(
+    pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("is_base", pa.bool_()), ("pattern", pa.string())])
+)
+
+
+def candidates_column(text: Column) -> Column:
+    """Array of the candidates of a text column."""
 
-    @F.arrow_udf(ArrayType(StringType()))
-    def patterns(texts: pa.Array) -> pa.Array:
-        return pa.array([[c[4] for c in candidates(t.as_py() or "")] for t in texts], pa.list_(pa.string()))
+    @F.arrow_udf(ArrayType(CANDIDATE))
+    def search(texts: pa.Array) -> pa.Array:
+        names = ("kind", "start", "end", "is_base", "pattern")
+        return pa.array([[dict(zip(names, c)) for c in candidates(t.as_py() or "")] for t in texts], CANDIDATE_ARROW)
 
-    counted = small_batches(docs).select(F.explode(patterns(F.col(f"`{text}`"))).alias("pattern")).groupBy("pattern").count()
+    return search(text)
+
+
+def learned(found: Column, rows: DataFrame) -> dict[str, float]:
+    """The model trained on the counts of the patterns of a candidate column."""
+    counted = rows.select(F.explode(F.transform(found, lambda c: c["pattern"])).alias("pattern")).groupBy("pattern").count()
     return train({r["pattern"]: r["count"] for r in counted.collect()})
 
 
+def learn(docs: DataFrame, text: str = "text") -> dict[str, float]:
+    """Count the patterns of all candidates of all texts, and train on the counts."""
+    return learned(candidates_column(F.col(f"`{text}`")), small_batches(docs))
+
+
 SPAN = StructType(
     [
         StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType()),
@@ -269,42 +350,47 @@ SPAN = StructType(
 )
 
 
-def judged(text: str, model: dict[str, float]) -> list[tuple[str, int, int, bool, float]]:
-    """Base spans and all that the classifier accepts, with its probability, by start and then kind; added ones may overlap."""
-    kept = [(*c[:4], model.get(c[4], 0.0)) for c in candidates(text)]
+def judged(found: list[tuple], model: dict[str, float]) -> list[tuple[str, int, int, bool, float]]:
+    """Of candidates, base spans and all that the classifier accepts, with its probability, by start and then kind; added ones may overlap."""
+    kept = [(*c[:4], model.get(c[4], 0.0)) for c in found]
     return sorted((c for c in kept if c[3] or c[4] >= ACCEPT), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
-def accepted(text: str, model: dict[str, float]) -> list[tuple[str, int, int, bool]]:
+def accepted(found: list[tuple], model: dict[str, float]) -> list[tuple[str, int, int, bool]]:
     """Spans of a text by start, then by kind as listed; of added ones that overlap the most probable, then the longest."""
-    found = judged(text, model)
-    kept = [c[:4] for c in found if c[3]]
+    all_of_them = judged(found, model)
+    kept = [c[:4] for c in all_of_them if c[3]]
     taken: list[tuple[int, int]] = []
-    for kind, start, end, is_base, _ in sorted((c for c in found if not c[3]), key=lambda x: (-x[4], x[1] - x[2], x[1], KINDS.index(x[0]))):
+    for kind, start, end, is_base, _ in sorted((c for c in all_of_them if not c[3]), key=lambda x: (-x[4], x[1] - x[2], x[1], KINDS.index(x[0]))):
         if (at := clear(taken, start, end)) is not None:
             taken.insert(at, (start, end))
             kept.append((kind, start, end, is_base))
     return sorted(kept, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def spans_column(text: Column, model: dict[str, float]) -> Column:
-    """Array of struct(kind, start, end, is_base) of a text column; places in code points, end exclusive."""
+def spans_column(found: Column, model: dict[str, float]) -> Column:
+    """Array of struct(kind, start, end, is_base) of a candidate column; places in code points, end exclusive."""
 
     @F.arrow_udf(ArrayType(SPAN))
-    def find(texts: pa.Array) -> pa.Array:
-        rows = [
-            [dict(zip(("kind", "start", "end", "is_base"), s)) for s in accepted(t.as_py() or "", model)] for t in texts
+    def choose(rows: pa.Array) -> pa.Array:
+        out = [
+            [dict(zip(("kind", "start", "end", "is_base"), s)) for s in accepted([tuple(c.values()) for c in r.as_py() or []], model)]
+            for r in rows
         ]
-        return pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("is_base", pa.bool_())])))
+        return pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("is_base", pa.bool_())])))
 
-    return find(text)
+    return choose(found)
 
 
 def find(docs: DataFrame, text: str = "text", out: str = "pii_spans", model: dict[str, float] | None = None) -> DataFrame:
-    """``docs`` with the accepted spans; the model is learned from the same texts unless given."""
+    """``docs`` without the text, with the accepted spans; the model is learned from the same texts unless given."""
     if out.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"column {out} is there already")
-    return small_batches(docs).withColumn(out, spans_column(F.col(f"`{text}`"), learn(docs, text) if model is None else model))
+    held = fresh("candidates", docs)
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    searched = settle(small_batches(docs).select(*others, candidates_column(F.col(f"`{text}`")).alias(held)))
+    model = learned(F.col(held), searched) if model is None else model
+    return searched.select(*others, spans_column(F.col(held), model).alias(out))
 
 
 def redact_text(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
@@ -324,7 +410,7 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars",
     @F.arrow_udf(StringType())
     def replaced(texts: pa.Array) -> pa.Array:
         rows = [t.as_py() for t in texts]
-        return pa.array([None if t is None else redact_text(t, [c[:4] for c in judged(t, model)]) for t in rows], pa.string())
+        return pa.array([None if t is None else redact_text(t, [c[:4] for c in judged(candidates(t), model)]) for t in rows], pa.string())
 
     out = small_batches(docs).withColumn(text, replaced(F.col(f"`{text}`")))
     if n_chars in docs.columns:
