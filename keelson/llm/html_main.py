@@ -5,14 +5,15 @@ its length and its commas to the elements above it (whole to the nearest contain
 a half and a third further up); an element's points are discounted by the share of
 link text below it.  The best container is kept with all that stands beside it or
 further up and doesn't consist of links (or scores well next to it), or the whole
-article where the best container lies in one.  Menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-left out by element, role and class names.
+article where the best container lies in one, with articles beside it that do about as
+well.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+reader comments are left out by element, by role, or by a class or id name that as a
+whole says so; a single word of a longer name only lowers the score.
 
 Cases: a null or empty html has the text ''; markup that is cut off or badly nested
 is closed where HTML closes it (a script, style, title, textarea or iframe without
 an end tag reaches to the end of the page, a button, select, drawing or template to
-the end of its parent); formulas and fallback texts are text; character references are decoded once; white space
+the end of its parent, a button that is never closed to the next block); formulas and fallback texts are text; character references are decoded once; white space
 (any Unicode white space, and <br>) within a block becomes one space; nothing else
 is dropped or cut; of equal scores the first container in page order wins; equal
 pages get equal texts; extra columns pass through and clashing output names are
@@ -47,16 +48,26 @@ BLOCK = frozenset(
 #: Elements left out wherever they stand; a header is left out only outside articles.
 LEFT_OUT = frozenset("nav footer aside form head dialog menu".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu".split())
-#: Words of class and id names that always mark what is left out.
+#: Words that, as the last of a class or id name, say that it is left out ("post-comments", "sidebar").
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion comment comments disqus "
-    "replies respond cookie cookies consent gdpr newsletter subscribe subscription popup modal overlay share sharing "
-    "social related recommended breadcrumb breadcrumbs pagination pager nav navbar navigation menu footer masthead "
-    "toolbar widget widgets paywall login signup print skip".split()
+    "replies cookie cookies consent gdpr newsletter subscribe popup modal overlay breadcrumb breadcrumbs pagination pager "
+    "nav navbar navigation menu footer masthead toolbar paywall sidebar".split()
 )
-#: Words that mark it unless a word of GOOD stands beside them.
-DOUBTFUL = frozenset("sidebar header banner notice notices alert aside disclaimer rail teaser".split())
-GOOD = frozenset("article body content main post entry story text page wrapper container layout column".split())
+#: Words that say so only if every word of the name is one of these or of those above ("social-share", "cookie-notice-bar").
+DOUBTFUL = frozenset(
+    "respond subscription share sharing social related recommended recommendations widget widgets login signup skip banner "
+    "header notice notices alert disclaimer rail teaser teasers aside".split()
+)
+#: Words that only say how or where a box stands.
+PLAIN = frozenset(
+    "area bar block blocks box button buttons container content global grid group inner item items left link links list main "
+    "mobile outer page panel posts right row section site slot top bottom unit wrap wrapper".split()
+)
+GOOD = frozenset("article body content main post entry story text".split())
+#: Words of names that tell a state or a topic, not what the element is ("has-sidebar", "tag-ads").
+STATE = frozenset("no not has with without is hide show open tag category type format lang theme".split())
+READER = frozenset("comment comments reply replies".split())
 #: Start tags that close an open element of their own kind, up to the nearest of the barriers.
 CLOSES = {
     "p": ({"p"}, frozenset()), "li": ({"li"}, frozenset({"ul", "ol", "menu"})), "dt": ({"dt", "dd"}, frozenset({"dl"})),
@@ -65,6 +76,8 @@ CLOSES = {
 }
 NO_P_INSIDE = frozenset(BLOCK - {"dd", "dt", "li", "td", "th", "html", "body", "head", "tbody", "thead", "tfoot", "tr"})
 
+#: Points that an article or main has by itself.
+OF_ARTICLE = 30.0
 #: The greatest share of link text in what is kept beside the best container.
 LIGHT = 0.25
 #: Elements nested deeper become siblings, as in browsers; no text is lost by it.
@@ -74,7 +87,27 @@ _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)")
 _QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _ATTRIBUTE = re.compile(r"([^\s/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|(\S++)))?")
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
+
+def standing(names: str) -> tuple[bool, float]:
+    """Whether class and id names leave an element out, and the points that they give or take.
+
+    A name is judged whole: one of its words alone (as in "market-share" or
+    "related-work") only takes points.
+    """
+    out, points = False, 0.0
+    for name in names.split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        if not words or STATE.intersection(words):
+            continue
+        core = [w for w in words if w not in PLAIN]
+        last = core[-1] if core else ""
+        noisy = bool(core) and all(w in NOISE or w in DOUBTFUL for w in core) or last in NOISE
+        out |= noisy
+        if not noisy:
+            points += 15.0 * bool(GOOD.intersection(words)) - 10.0 * any(w in NOISE or w in DOUBTFUL for w in words)
+    return out, max(-20.0, min(points, 15.0))
 
 
 class Node:
@@ -89,7 +122,7 @@ class Node:
 
 def opened(tag: str, attributes: str, parent: Node) -> Node:
     """A node with its standing (left out or not) and the bonus of its names."""
-    words: set[str] = set()
+    points = 0.0
     out = parent.out or tag in LEFT_OUT
     if tag == "header" and not out:
         above = parent
@@ -99,13 +132,14 @@ def opened(tag: str, attributes: str, parent: Node) -> Node:
     if attributes:
         seen: dict[str, str] = {}
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
-            seen.setdefault(name.lower(), (a or b or c).lower())  # of equal names the first counts
-        words.update(_WORD.findall(f"{seen.get('class', '')} {seen.get('id', '')}"))
-        out = out or "hidden" in seen or seen.get("aria-hidden") == "true" or seen.get("role") in LEFT_OUT_ROLES
-        out = out or "display:none" in seen.get("style", "").replace(" ", "")
-        if tag not in ("html", "body", "article", "main"):
-            out = out or bool(words & NOISE) or bool(words & DOUBTFUL and not words & GOOD)
-    return Node(tag, parent, out, 30.0 * (tag in ("article", "main")) + 15.0 * bool(words & GOOD))
+            seen.setdefault(name.lower(), a or b or c)  # of equal names the first counts
+        out = out or "hidden" in seen or seen.get("aria-hidden", "").lower() == "true" or seen.get("role", "").lower() in LEFT_OUT_ROLES
+        out = out or "display:none" in seen.get("style", "").lower().replace(" ", "")
+        named, points = standing(f"{seen.get('class', '')} {seen.get('id', '')}")
+        if tag == "article":  # its names often tell topics, so only those of reader comments count
+            named = bool(READER.intersection(seen.get("class", "").lower().split()))
+        out = out or named and tag not in ("html", "body", "main")
+    return Node(tag, parent, out, OF_ARTICLE * (tag in ("article", "main")) + points)
 
 
 def blocks_of(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
@@ -118,6 +152,7 @@ def blocks_of(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
     linked = 0
     in_link = False
     quotes_hold = True
+    last_button_end = max(html.rfind("</button"), html.rfind("</BUTTON"))
 
     def flush() -> None:
         nonlocal linked
@@ -200,7 +235,7 @@ def blocks_of(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
                 while hidden and hidden[-1][1].depth > here.depth:
                     hidden.pop()
             continue
-        while hidden and hidden[-1][0] in FOREIGN:
+        while hidden and (hidden[-1][0] in FOREIGN or hidden[-1][0] == "button" and cut > last_button_end):
             hidden.pop()
         flush()
         node = here
@@ -249,7 +284,9 @@ def main_text(html: str | None) -> str:
     if above is not None:
         above.kept = True
         for node in nodes[1:]:
-            node.kept |= node.parent.kept
+            # Another article beside it is kept if it does about as well and isn't a list of links.
+            beside = node.parent is above.parent and node.tag == above.tag and node.linked <= LIGHT * node.chars
+            node.kept |= node.parent.kept or beside and node.score - OF_ARTICLE >= 0.5 * (above.score - OF_ARTICLE)
         return "\n".join(block for node, block, _ in found if node.kept)
     top.kept = True
     up, around = top.parent, set()

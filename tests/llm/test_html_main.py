@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from keelson.llm import html_main
@@ -76,3 +78,54 @@ def test_all_sections_of_pages_without_article():
 )
 def test_nothing_else_is_lost(html, text):
     assert html_main.main_text(html) == text
+
+
+LONG = "Some words, and some more, and yet more of them, so that it counts."
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<article><p>{LONG}</p><section id='related-work'><p>Others did it.</p></section></article>", f"{LONG}\nOthers did it."),
+        (f"<article><p>{LONG}</p><p class='market-share'>A third.</p></article>", f"{LONG}\nA third."),
+        (f"<div class='print'><article><p>{LONG}</p></article></div>", LONG),
+        (f"<div class='post-with-sidebar'><p>{LONG}</p></div>", LONG),
+        (f"<article><p>{LONG}</p></article><article><p>{LONG}</p></article>", f"{LONG}\n{LONG}"),
+        (f"<article><p>{LONG}</p></article><article class=comment><p>{LONG}</p></article>", LONG),
+        (f"<article class='post tag-ads'><p>{LONG}</p></article>", LONG),
+        (f"<p>{LONG}</p><div class='postComments'><p>{LONG}</p></div><div id=social-share-bar>Tell</div><div class='ad-slot top'>Buy</div>", LONG),
+        (f"<p>{LONG}</p><div class='sidebar'><p>{LONG}</p></div><div class='cookie-notice-bar'><p>{LONG}</p></div>", LONG),
+        (f"<html><head><title>t<body><p>{LONG}</p>", ""), (f"<html><head><meta charset=x><body><p>{LONG}</p>", LONG),
+        (f"<article><p>{LONG}</p><button>x<p>After.</p></article>", f"{LONG}\nAfter."),
+    ],
+)
+def test_names_are_judged_whole(html, text):
+    assert html_main.main_text(html) == text
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_made_pages_against_what_was_put_in(seed):
+    """Pages made of blocks that belong to the article and of what is left out, in many kinds of markup."""
+    rng = random.Random(seed)
+    say = lambda: ", ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(3, 9))) for _ in range(rng.randrange(8, 30))) + "."
+    wanted = []
+
+    def block():
+        text = say()
+        wanted.append(text)
+        half = len(text) // 2
+        shown = rng.choice([text, f"<b>{text[:half]}</b>{text[half:]}", f"<a href=/x>{text[:5]}</a>{text[5:]}", text.replace(" ", " \n ", 1), text.replace(",", "&#44;", 1)])
+        return rng.choice(["<p>%s</p>", "<p class=lead>%s", "<h2>%s</h2>", "<blockquote>%s</blockquote>", "<ul><li>%s</li></ul>", "<div>%s</div>", "<section id=s1><p>%s</p></section>"]) % shown
+
+    def noise():
+        text = say()
+        return rng.choice(
+            ["<nav>%s</nav>", "<footer><p>%s</p></footer>", "<div class=ad>%s</div>", "<aside>%s</aside>", "<div id=comments><p>%s</p></div>",
+             "<script>%s</script>", "<style>%s</style>", "<!-- %s -->", "<form><p>%s</p></form>", "<div role=navigation>%s</div>", "<div class='sidebar right'>%s</div>",
+             "<div class='newsletter-box'><p>%s</p></div>", "<div hidden>%s</div>", "<svg><text>%s</text></svg>"]
+        ) % text
+
+    inner = "".join(block() + (noise() if rng.random() < 0.3 else "") for _ in range(rng.randrange(3, 9)))
+    body = rng.choice(["<article>%s</article>", "<main>%s</main>", "<div class=content>%s</div>", "<div><div>%s</div></div>"]) % inner
+    page = f"<!doctype html><html><head><title>{say()}</title></head><body>{noise()}{body}{noise()}</body></html>"
+    assert html_main.main_text(page) == "\n".join(wanted)
