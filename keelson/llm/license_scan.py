@@ -1,8 +1,8 @@
 """Operator 5: license scans by diagonal voting, in DataFrame operations only.
 
 Every rolling word k-gram of every text (2 words for the base phrases, GRAM words for
-notices) is joined with the positions that templates have it at: Spark hashes the gram's
-words and compares them, so no collision counts.  A hit votes for the diagonal ``text position -
+notices) is joined by hash with the positions that templates have it at; the words are
+compared too, so no collision counts.  A hit votes for the diagonal ``text position -
 template position`` and for the template's words it stands on.  Neighbouring diagonals
 are merged (an inserted or a dropped word moves the rest of a template by one): the
 template words that any of their hits stands on are counted once each.  A span is
@@ -75,7 +75,7 @@ MOST_GRAMS = 1_000_000
 
 
 def template_grams(spark: SparkSession, base: Iterable, notices: Iterable) -> DataFrame:
-    """One row for each distinct gram: width, gram (its words) and uses, an array of struct(template, label, is_base, n_words, at)."""
+    """One row for each distinct gram: width, gram (its words), hash and uses, an array of struct(template, label, is_base, n_words, at)."""
     rows = []
     for number, (text, label, is_base) in enumerate([(*x, True) for x in base] + [(*x, False) for x in notices]):
         words = [w for w in re.split(ALNUM_BREAK, text.lower()) if w]
@@ -88,7 +88,7 @@ def template_grams(spark: SparkSession, base: Iterable, notices: Iterable) -> Da
     names = "template int, label string, is_base boolean, n_template int, at int, width int, gram string"
     use = F.struct("template", "label", "is_base", "n_template", "at", "width")
     found = spark.createDataFrame(rows, names)
-    return found.groupBy("width", "gram").agg(F.collect_list(use).alias("uses"))
+    return found.groupBy("width", "gram").agg(F.collect_list(use).alias("uses")).withColumn("hash", F.xxhash64("gram"))
 
 
 def scan(docs: DataFrame, base=BASE_PHRASES, notices=NOTICES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -116,8 +116,9 @@ def scan(docs: DataFrame, base=BASE_PHRASES, notices=NOTICES, doc_id: str = "doc
         "doc_id", "text_hash", "place", F.when(F.col("place") < 0, F.size("words")).alias("n_words"), *(gram(w).alias(f"gram_{w}") for w in widths)
     )
     for width in widths:
-        own = grams.where(F.col("width") == width).select(F.col("gram").alias(f"gram_{width}"), F.col("uses").alias(f"uses_{width}"))
-        places = places.join(F.broadcast(own), f"gram_{width}", "left")
+        own = grams.where(F.col("width") == width).select("hash", "gram", F.col("uses").alias(f"uses_{width}"))
+        same = (F.xxhash64(f"gram_{width}") == F.col("hash")) & (F.col(f"gram_{width}") == F.col("gram"))
+        places = places.join(F.broadcast(own), same, "left").drop("hash", "gram", f"gram_{width}")
     uses = F.flatten(F.array_compact(F.array(*(F.col(f"uses_{w}") for w in widths))))
     hits = (
         places.withColumn("uses", uses)
