@@ -80,6 +80,11 @@ def normal_path(path: Column) -> Column:
     return F.regexp_replace(path, r"\{[^{}]*\}", "{}")
 
 
+def plain_text(json_text: Column) -> Column:
+    """The text that a JSON string stands for; other JSON values as they are written, null for none."""
+    return F.get_json_object(F.concat(F.lit('{"v":'), json_text, F.lit("}")), "$.v")
+
+
 def media_key(media: Column) -> Column:
     return F.replace(F.lower(media), F.lit(" "), F.lit(""))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def staging_folder(spark: SparkSession) -> str:
@@ -22,3 +23,12 @@ def staged(df: DataFrame) -> DataFrame:
     """The same rows behind a checkpoint: later plans start here, and a lost executor costs no recomputation."""
     staging_folder(df.sparkSession)
     return df.checkpoint()
+
+
+#: Tables of up to so many bytes are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_BYTES = 96 << 20
+
+
+def near(df: DataFrame, size: int) -> DataFrame:
+    """``df`` to be broadcast, if the size that was counted for it allows it."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
+from keelson.operators.staging import staged
+
 ELEMENT = "[]"
 UNKNOWN = "unknown"
 ADDED, ABSENT, TYPE_CHANGED = "added", "absent", "type_changed"
@@ -87,7 +89,12 @@ def with_structure(docs: DataFrame, json_column: str = "json") -> DataFrame:
             [pa.array([r[0] for r in rows], SEEN_ARROW), pa.array([r[1] for r in rows], pa.string())], ["seen", "rejection"]
         )
 
-    return docs.withColumn("parsed", parse(F.col(json_column))).select("*", "parsed.seen", "parsed.rejection").drop("parsed")
+    if clash := {c.lower() for c in docs.columns} & {"seen", "rejection"}:
+        raise ValueError(f"columns {sorted(clash)} are there already")
+    result_of_row = parse(F.col(json_column))
+    return docs.select(*docs.columns, F.struct(result_of_row.alias("r")).alias("_parsed_structure")).select(
+        *docs.columns, F.col("_parsed_structure.r.seen").alias("seen"), F.col("_parsed_structure.r.rejection").alias("rejection")
+    )
 
 
 def structures(docs: DataFrame, keys: list[str], json_column: str = "json") -> DataFrame:
@@ -118,9 +125,10 @@ def compare(old: DataFrame, new: DataFrame, keys: list[str] | None = None) -> Da
     exploded and met by an equi-join, so no path is compared with every other.
     """
     keys = keys or []
-    both = old.withColumnRenamed("type", "old_type").join(
-        new.withColumnRenamed("type", "new_type"), [*keys, "path"], "full"
-    )
+    side = lambda df, n: df.select(*keys, "path", F.lit(n).alias("side"), "type")
+    of = lambda n: F.max(F.when(F.col("side") == n, F.col("type")))
+    # One aggregate pairs both sides; it is staged, as it is read three times below.
+    both = staged(side(old, 0).unionByName(side(new, 1)).groupBy(*keys, "path").agg(of(0).alias("old_type"), of(1).alias("new_type")))
     unseen = both.where((F.col("old_type") == UNKNOWN) | (F.col("new_type") == UNKNOWN)).select(*keys, F.col("path").alias("prefix"))
     hidden = both.select(*keys, "path", F.explode(prefixes(F.col("path"))).alias("prefix")).join(
         unseen, [*keys, "prefix"], "left_semi"

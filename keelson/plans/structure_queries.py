@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from keelson.functions import text
 from keelson.operators import structure
-from keelson.operators.staging import staging_folder
+from keelson.operators.staging import staged, staging_folder
 from keelson.plans.registry import query, table
 from keelson.sources import records
 
@@ -68,7 +68,7 @@ FROM b WHERE old_type IS DISTINCT FROM new_type
 )
 def j1_structure_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drift between the documents of closed and of open orders."""
-    found = structure.structures(documents(spark, sf_dir), ["status"])
+    found = staged(structure.structures(documents(spark, sf_dir), ["status"]))
     old, new = found.where("status = 'F'").drop("status"), found.where("status = 'O'").drop("status")
     return structure.compare(old, new).withColumn("path", text.shown_path(F.col("path")))
 
@@ -88,7 +88,7 @@ FROM b WHERE old_type IS DISTINCT FROM new_type
 )
 def k13_drift_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings as lines for reading."""
-    found = structure.structures(documents(spark, sf_dir), ["status"])
+    found = staged(structure.structures(documents(spark, sf_dir), ["status"]))
     old, new = found.where("status = 'O'").drop("status"), found.where("status = 'P'").drop("status")
     path = text.shown_path(F.col("path"))
     line = (
@@ -133,6 +133,6 @@ def j1_drift_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "orders").select(
         F.col("o_orderpriority").alias("prio"), F.col("o_orderstatus").alias("status"), F.expr(_JSON).alias("json")
     )
-    found = structure.structures(docs, ["prio", "status"])
+    found = staged(structure.structures(docs, ["prio", "status"]))
     old, new = found.where("status = 'P'").drop("status"), found.where("status = 'O'").drop("status")
     return structure.compare(old, new, ["prio"]).withColumn("path", text.shown_path(F.col("path")))

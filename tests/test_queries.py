@@ -1,8 +1,8 @@
 """Every query of the package against its SQL on the smallest tables, and what the registry promises."""
 
-import importlib.util
 import math
 import os
+import sys
 
 import duckdb
 import pytest
@@ -48,8 +48,11 @@ def test_query_equals_its_sql(spark, db, name):
     assert found or name == "j12_expected_against_returned"
 
 
-def test_entry_points_work_without_the_corpus_subpackage(spark, monkeypatch):
-    real = importlib.util.find_spec
-    monkeypatch.setattr(driver_entry, "find_spec", lambda n: None if n.startswith(("keelson.llm", "corpus_pipeline")) else real(n))
+@pytest.mark.parametrize("missing", ["keelson.llm.entries", "public_tokenizers"])
+def test_entry_points_work_without_the_corpus_subpackage(spark, monkeypatch, missing):
+    """Without the subpackage, and where something that it needs is missing."""
+    for name in [m for m in sys.modules if m.startswith(("keelson.llm", "corpus_pipeline"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, missing, None)
     assert set(driver_entry.queries()) == set(QUERIES) and set(driver_entry.oracle_sql()) == set(SQL)
     assert driver_entry.entry(spark).columns == ["path", "kind", "old_type", "new_type"]
