@@ -40,22 +40,33 @@ def template_pattern(template: Column) -> Column:
     return F.concat(F.lit("^"), F.regexp_replace(quoted, r"\{[^{}]*\}", "[^/]+"), F.lit("$"))
 
 
-def find_operations(requests: DataFrame, operations: DataFrame) -> DataFrame:
-    """Requests (request_id, method, path) with the operations (method, template) they name.
-
-    Templates meet paths of the same number of segments (an equi-join) and are then
-    compared; a null method asks for any.
+def find_operations(requests: DataFrame, operations: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Requests (keys, request_id, method, path) with the operations (keys, method, template) they name.
+
+    A template's segments with parameters are its mask.  A path is masked in each way
+    that some template of its length has (there are few), and masked paths meet masked
+    templates in an equi-join, so a path meets only templates with its own literal
+    segments; what a segment holds besides its parameter is compared last.  A null
+    method asks for any.
     """
-    segments = lambda c: F.size(F.split(c, "/"))
-    asked = requests.withColumn("segments", segments(F.col("path")))
+    keys = keys or []
+    segments = lambda c: F.split(c, "/")
+    is_open = lambda s: F.contains(s, F.lit("{"))
+    mask = F.array_join(F.transform(segments(F.col("template")), lambda s: F.when(is_open(s), "*").otherwise("=")), "")
+    masked = F.array_join(F.transform(segments(F.col("template")), lambda s: F.when(is_open(s), "*").otherwise(s)), "/")
     offered = operations.select(
-        F.col("method").alias("offered_method"), "template", segments(F.col("template")).alias("segments"),
-        template_pattern(F.col("template")).alias("pattern"),
+        *keys, F.col("method").alias("offered_method"), "template", F.size(segments(F.col("template"))).alias("segments"),
+        mask.alias("mask"), masked.alias("masked"), template_pattern(F.col("template")).alias("pattern"),
     )
+    masks = offered.groupBy(*keys, "segments").agg(F.collect_set("mask").alias("masks"))
+    asked = requests.withColumn("segments", F.size(segments(F.col("path")))).join(masks, [*keys, "segments"])
+    asked = asked.withColumn("mask", F.explode("masks")).drop("masks")
+    own = F.array_join(F.transform(segments(F.col("path")), lambda s, i: F.when(F.substr("mask", i + 1, F.lit(1)) == "*", "*").otherwise(s)), "/")
     return (
-        asked.join(offered, "segments")
+        asked.withColumn("masked", own)
+        .join(offered, [*keys, "segments", "mask", "masked"])
         .where("(method IS NULL OR method = offered_method) AND path RLIKE pattern")
-        .select("request_id", F.col("offered_method").alias("method"), "path", "template")
+        .select(*keys, "request_id", F.col("offered_method").alias("method"), "path", "template")
     )
 
 
