@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.functions import text
-from keelson.operators import evaluation, identity
+from keelson.operators import contract_diff, evaluation, history, identity, references
+from keelson.operators.staging import staged
 from keelson.plans.registry import query, table
 
 
@@ -34,18 +35,18 @@ def a9_package_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "j20_bundle_verification",
-    """WITH m AS (SELECT doc_id AS path, sha256(text) AS wanted FROM documents WHERE doc_id % 9 <> 0),
-       f AS (SELECT doc_id AS path, sha256(CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END) AS found FROM documents WHERE doc_id % 7 <> 0)
+    """WITH m AS (SELECT doc_id::VARCHAR AS path, sha256(text) AS wanted FROM documents),
+       f AS (SELECT CASE WHEN lang = 'fr' THEN 'old/' || doc_id ELSE doc_id::VARCHAR END AS path, sha256(CASE WHEN lang = 'de' THEN text || '!' ELSE text END) AS found FROM documents)
        SELECT path, CASE WHEN found IS NULL THEN 'missing' WHEN wanted IS NULL THEN 'unexpected' ELSE 'altered' END AS problem
        FROM (SELECT coalesce(m.path, f.path) AS path, wanted, found FROM m FULL JOIN f ON m.path = f.path) WHERE wanted IS DISTINCT FROM found""",
 )
 def j20_bundle_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A manifest against files, with some missing, unexpected and altered ones."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    manifest = docs.where("doc_id % 9 <> 0").select(F.col("doc_id").alias("path"), identity.digest(F.col("text")).alias("digest"))
-    altered = F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    files = docs.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("path"), identity.digest(altered).alias("digest"))
-    return identity.verify(files, manifest)
+    """A manifest of all documents against the files kept of them: those in French lie under another name, those in German were altered."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "lang", "text")
+    manifest = docs.select("path", identity.digest(F.col("text")).alias("digest"))
+    kept = F.when(F.col("lang") == "de", F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    path = F.when(F.col("lang") == "fr", F.concat(F.lit("old/"), "path")).otherwise(F.col("path"))
+    return identity.verify(docs.select(path.alias("path"), identity.digest(kept).alias("digest")), manifest)
 
 
 @query(
@@ -115,15 +116,16 @@ def x3_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LABELLED = """
-e AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxic' ELSE 'clean' END AS expected FROM labels WHERE quality = 1),
-r AS (SELECT doc_id, CASE WHEN regexp_matches(text, 'idiot|moron|stupid') THEN 'toxic' ELSE 'clean' END AS returned FROM documents WHERE doc_id % 3 <> 0),
+e AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'toxic' ELSE 'clean' END AS expected FROM labels),
+r AS (SELECT doc_id, CASE WHEN regexp_matches(text, 'idiot|moron|stupid') THEN 'toxic' ELSE 'clean' END AS returned FROM documents),
 p AS (SELECT coalesce(e.doc_id, r.doc_id) AS doc_id, expected, returned FROM e FULL JOIN r ON e.doc_id = r.doc_id)
 """
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    expected = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id", F.when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("category"))
-    returned = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select(
+    """Every label against what every document is found to be; documents without a label have no expectation."""
+    expected = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("category"))
+    returned = table(spark, sf_dir, "documents").select(
         "doc_id", F.when(F.col("text").rlike("idiot|moron|stupid"), "toxic").otherwise("clean").alias("category")
     )
     return evaluation.matched(expected, returned, ["doc_id"])
@@ -155,9 +157,19 @@ def a6_precision_and_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT conv_id, role, turn, sha256(text) AS said FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS n FROM conversations) WHERE n = 1",
 )
 def w1_last_turn_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Override by key: of each conversation and role the last turn stays; an aggregate, so no window sorts a long conversation."""
-    last = F.max_by(F.col("text"), F.col("turn"))
-    return table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.max("turn").alias("turn"), F.sha2(last, 256).alias("said"))
+    """Override by key: of each conversation and role the last turn stays."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "role", "turn", F.sha2("text", 256).alias("said"))
+    return history.last_wins(turns, ["conv_id", "role"], "turn", ["said"])
+
+
+@query(
+    "a14_first_turn_wins",
+    "SELECT conv_id, role, turn, sha256(text) AS said FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations) WHERE n = 1",
+)
+def a14_first_turn_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deduplication by key that keeps the first."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "role", "turn", F.sha2("text", 256).alias("said"))
+    return history.first_wins(turns, ["conv_id", "role"], "turn", ["said"])
 
 
 _KEYED = """
@@ -174,12 +186,12 @@ n AS (SELECT p_brand AS brand, (p_partkey - 1) % 500 AS key, min(p_size) AS size
 )
 def j2_keyed_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two versions of a keyed table: one full outer join tells what was added, removed and changed."""
-    parts = table(spark, sf_dir, "part")
-    old = parts.where("p_partkey % 2 = 0").groupBy(F.col("p_brand").alias("brand"), (F.col("p_partkey") % 500).alias("key")).agg(F.min("p_size").alias("old_size"))
-    new = parts.where("p_partkey % 2 = 1").groupBy(F.col("p_brand").alias("brand"), ((F.col("p_partkey") - 1) % 500).alias("key")).agg(F.min("p_size").alias("new_size"))
-    both = old.join(new, ["brand", "key"], "full")
-    kind = F.when(F.col("old_size").isNull(), "added").when(F.col("new_size").isNull(), "removed").otherwise("changed")
-    return both.where(~F.col("old_size").eqNullSafe(F.col("new_size"))).select("brand", "key", kind.alias("kind"), "old_size", "new_size")
+    parts, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    side = F.when(key % 2 == 0, "before").otherwise("after")
+    rows = parts.select(F.col("p_brand").alias("brand"), F.when(key % 2 == 0, key % 500).otherwise((key - 1) % 500).alias("key"), side.alias("side"), "p_size")
+    both = contract_diff.two_sides(rows, ["brand", "key"], F.min, "p_size")
+    kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("changed")
+    return both.where(~F.col("old").eqNullSafe(F.col("new"))).select("brand", "key", kind.alias("kind"), F.col("old").alias("old_size"), F.col("new").alias("new_size"))
 
 
 @query(
@@ -190,21 +202,58 @@ def j2_keyed_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def o2_members_gone_and_come(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set differences both ways of the members that two versions of a group have."""
-    side = lambda n: F.collect_set(F.when(F.col("c_custkey") % 2 == n, F.col("c_mktsegment")))
-    sets = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(side(0).alias("old"), side(1).alias("new"))
-    return sets.select("k", F.array_join(F.array_sort(F.array_except("old", "new")), ",").alias("gone"), F.array_join(F.array_sort(F.array_except("new", "old")), ",").alias("came"))
+    side = F.when(F.col("c_custkey") % 2 == 0, "before").otherwise("after")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), side.alias("side"), "c_mktsegment")
+    gone, came = contract_diff.gone_and_come(F.col("old"), F.col("new"))
+    shown = lambda members: F.array_join(F.array_sort(members), ",")
+    return contract_diff.two_sides(rows, ["k"], F.collect_set, "c_mktsegment").select("k", shown(gone).alias("gone"), shown(came).alias("came"))
+
+
+_LINKED = """concat('{"a":{"$ref":"#/b/', p_partkey % 3, '"},"b":[{"$ref":"https://docs.example/', p_size, '#/a"},{"$ref":"', CASE WHEN p_partkey % 2 = 0 THEN '#/b' ELSE '#/c~1d' END,
+  '"},1],"c/d":{"x":{"$ref":"https://docs.example/', p_size, '#/a"}},"n":{"$ref":"#name"}}')"""
+_REFS = f"""
+d AS (SELECT p_partkey AS k, p_size, 'https://docs.example/p/' || p_partkey AS url FROM part),
+r AS (SELECT k, url, '/a' AS pointer, '#/b/' || (k % 3) AS ref, 'local' AS kind FROM d
+      UNION ALL SELECT k, url, '/b/0', 'https://docs.example/' || p_size || '#/a', 'external' FROM d
+      UNION ALL SELECT k, url, '/b/1', CASE WHEN k % 2 = 0 THEN '#/b' ELSE '#/c~1d' END, 'local' FROM d
+      UNION ALL SELECT k, url, '/c~1d/x', 'https://docs.example/' || p_size || '#/a', 'external' FROM d
+      UNION ALL SELECT k, url, '/n', '#name', 'anchor' FROM d)
+"""
+
+
+def linked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """url and content of a document for each part, with references inside, to others and to an anchor."""
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("https://docs.example/p/"), "p_partkey").alias("url"), F.expr(_LINKED).alias("content"), "p_size")
+
+
+@query("a13_occurrences", f"WITH {_REFS} SELECT url, ref, kind, count(*) AS n, min(pointer) AS first_pointer FROM r GROUP BY 1, 2, 3")
+def a13_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document holds each reference, and where first."""
+    return references.occurrences(references.references(references.places(linked_documents(spark, sf_dir))))
+
+
+@query("p9_dangling_references", f"WITH {_REFS} SELECT url, pointer, ref FROM r WHERE kind = 'external'")
+def p9_dangling_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References whose target isn't among the documents: every external one here, as every place inside exists."""
+    found = staged(references.places(linked_documents(spark, sf_dir)))
+    return references.dangling(references.references(found), found).select("url", "pointer", "ref")
 
 
 @query(
-    "a13_occurrences",
-    """SELECT l_partkey AS pointer, l_shipmode_like AS ref, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS first_at
-       FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode_like FROM lineitem) GROUP BY 1, 2""",
+    "s19_captured_documents",
+    """WITH d AS (SELECT DISTINCT 'https://docs.example/p/' || p_partkey AS root, 'https://docs.example/' || p_size AS leaf FROM part)
+       SELECT root, root AS url, 0 AS depth, NULL::VARCHAR AS problem FROM d
+       UNION ALL SELECT root, leaf, 1, CASE WHEN regexp_extract(leaf, '[0-9]+$')::INT % 2 = 1 THEN 'not_captured' END FROM d
+       UNION ALL SELECT root, 'https://elsewhere.example/x', 2, 'other_origin' FROM d WHERE regexp_extract(leaf, '[0-9]+$')::INT % 2 = 0""",
 )
-def a13_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each (place, reference) pair occurs, and where first."""
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("pointer"), F.concat("l_returnflag", "l_linestatus").alias("ref")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("first_at")
-    )
+def s19_captured_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each part's document needs: documents of even sizes are there and refer to another origin."""
+    own = linked_documents(spark, sf_dir)
+    size = F.col("p_size")
+    leaves = own.select(size).distinct().where(size % 2 == 0).select(F.concat(F.lit("https://docs.example/"), size).alias("url"), F.lit('{"a":{"$ref":"https://elsewhere.example/x#/y"}}').alias("content"))
+    documents = staged(own.select("url", "content").unionByName(leaves))
+    refs = references.references(references.places(documents))
+    return references.capture(own.select(F.col("url").alias("root")), refs, documents)
 
 
 @query(
@@ -214,7 +263,6 @@ def a13_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def l9_capped_with_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 20 findings of each scope in walk order, and whether there were more (a limit that is the feature)."""
-    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")
-    total = F.count(F.lit(1)).over(Window.partitionBy("l_suppkey"))
-    found = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", F.row_number().over(order).cast("long").alias("ordinal"), total.alias("total"))
-    return found.where("ordinal <= 20").select(F.col("l_suppkey").alias("scope"), "ordinal", "l_orderkey", (F.col("total") > 20).alias("truncated"))
+    found = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("scope"), "l_orderkey", "l_linenumber")
+    kept = contract_diff.capped(found, ["scope"], ["l_orderkey", "l_linenumber"], 20)
+    return kept.select("scope", F.col("n").cast("long").alias("ordinal"), "l_orderkey", "truncated")
