@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.functions import text
-from keelson.operators import discovery, links, matching
+from keelson.operators import discovery, links, matching, pages, search
 from keelson.plans.registry import query, table
 
 
@@ -94,20 +94,20 @@ def s17_provider_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
         (VALUES ('/openapi.json'), ('/openapi.yaml'), ('/swagger.json')) c(p)""",
 )
 def s13_common_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Usual places of a contract below each origin; the three paths are exploded, not joined."""
-    origins = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0).alias("origin")).distinct()
-    paths = F.array(*(F.lit(p) for p in ("/openapi.json", "/openapi.yaml", "/swagger.json")))
-    return origins.select("origin", F.explode(paths).alias("path")).select(F.concat("origin", "path").alias("candidate"))
+    """Usual places of a contract below each origin."""
+    origins = table(spark, sf_dir, "pages").select(search.origin(F.col("url")).alias("origin")).distinct()
+    return search.common_locations(origins).select("candidate")
 
 
 @query(
     "s14_spec_like_urls",
-    "SELECT page_id, regexp_matches(lower(regexp_extract(url, '://[^/?#]*([^?#]*)', 1)), '\\.(json|ya?ml|html)$') AS spec_like FROM pages",
+    """SELECT page_id, page_id % 5 IN (0, 1, 2) AS spec_like FROM pages""",
 )
 def s14_spec_like_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """URLs whose path ends like a document (html counts here, so that the table has some)."""
-    path = F.lower(F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1))
-    return table(spark, sf_dir, "pages").select("page_id", path.rlike(r"\.(json|ya?ml|html)$").alias("spec_like"))
+    """URLs whose path ends as a contract's file does: each page's with one of five endings."""
+    endings = ("x.JSON?v=1", "x.yaml#top", "x.yml", "x.html?f=x.json", "xjson")
+    url = F.concat(search.origin(F.col("url")), F.lit("/"), F.get(F.array(*map(F.lit, endings)), (F.col("page_id") % 5).cast("int")))
+    return table(spark, sf_dir, "pages").select("page_id", search.looks_like_contract(url).alias("spec_like"))
 
 
 @query(
@@ -126,15 +126,17 @@ def j15_operations_of_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "a8_barriers_of_hosts",
-    f"""SELECT host, status, min(url) AS first_url, count(*) - 1 AS others FROM
-        (SELECT url, {_HOST} AS host, 401 + page_id % 3 AS status FROM pages WHERE page_id % 4 = 0) GROUP BY 1, 2""",
+    f"""SELECT host, status, arg_min(url, page_id) AS first_url, count(*) - 1 AS others FROM
+        (SELECT page_id, url, {_HOST} AS host, CASE page_id % 4 WHEN 0 THEN 401 WHEN 1 THEN 403 WHEN 2 THEN 200 ELSE 404 END AS status FROM pages) WHERE status IN (401, 403) GROUP BY 1, 2""",
 )
 def a8_barriers_of_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One finding for each host and status that barred the way, and how many more there were."""
-    barred = table(spark, sf_dir, "pages").where("page_id % 4 = 0")
-    return barred.groupBy(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("host"), (F.col("page_id") % 3 + 401).alias("status")).agg(
-        F.min("url").alias("first_url"), (F.count(F.lit(1)) - 1).alias("others")
+    """Every page was tried and got one of four answers; one finding for each host and status that asked for authentication."""
+    n = F.col("page_id") % 4
+    status = F.when(n == 0, 401).when(n == 1, 403).when(n == 2, 200).otherwise(404)
+    attempts = table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("seq"), "url", F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("host"), status.alias("status")
     )
+    return search.collapsed_barriers(attempts)
 
 
 @query(
@@ -155,10 +157,11 @@ def a12_search_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "x10_decoded_segments",
-    "SELECT page_id, replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/', '|') AS segments FROM pages",
+    "SELECT page_id, replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/', '|') || '|a b+' || page_id || '/c|é|%zz' AS segments FROM pages",
 )
 def x10_decoded_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)
+    """Escapes decoded a segment at a time: a space, a slash and a letter; a plus stays, a bad escape too."""
+    path = F.concat(F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1), F.lit("/a%20b+"), "page_id", F.lit("%2Fc/%C3%A9/%zz"))
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(text.decoded_segments(path), "|").alias("segments"))
 
 
@@ -214,3 +217,61 @@ def p22_server_expansions(spark: SparkSession, sf_dir: str) -> DataFrame:
     servers = table(spark, sf_dir, "pages").select(contract.alias("contract")).where("contract <> ''").distinct()
     servers = servers.select("contract", F.concat(F.lit("https://{r}."), "contract", F.lit("/{v}")).alias("url"), names.alias("variables"))
     return discovery.expanded_servers(servers).select("contract", "server")
+
+
+_MADE = """concat(html, '<base href="https://docs.example/v', page_id % 3, '/">', '<link rel="Service-Desc next" href="openapi/', page_id, '.json" type="application/json">',
+  '<a rel=service-doc href=/guide title="The guide">g</a>', '<redoc spec-url="/spec/', page_id, '.yaml"></redoc>', '<h2>API ', page_id, '</h2>', '<script src="swagger-init.js" data-main="js/main"></script>',
+  '<script>const ui = SwaggerUIBundle({ url: "/swagger/', page_id, '.json", dom_id: "#x" }); load("/files/api-docs.json?x=', page_id, '", "/files/app.js");</script>',
+  '<script>Redoc.init(''https://docs.example/redoc.yaml''); SwaggerUI({ urls: [{ url: "/a.json", name: "a" }, { "url": "/b.json" }], configUrl: "/cfg" }); SwaggerUI(cfg)</script>')"""
+
+
+def made_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with what pages of documentation have put behind it."""
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.expr(_MADE).alias("html"))
+
+
+@query(
+    "p17_typed_links",
+    """SELECT page_id, 'https://docs.example/v' || page_id % 3 || '/openapi/' || page_id || '.json' AS url, 'service-desc' AS rel, 'application/json' AS type, NULL::VARCHAR AS title FROM pages
+       UNION ALL SELECT page_id, 'https://docs.example/guide', 'service-doc', NULL, 'The guide' FROM pages""",
+)
+def p17_typed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.typed_links(made_pages(spark, sf_dir)).select("page_id", "url", "rel", "type", "title")
+
+
+@query(
+    "p17_link_headers",
+    """SELECT page_id, 'https://h.example/a,' || page_id AS url, 'service-desc' AS rel, 'x;y' AS type, NULL::VARCHAR AS title FROM pages
+       UNION ALL SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') || '/doc', 'service-doc', NULL, 'T, u' FROM pages
+       UNION ALL SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') || '/doc', 'api-catalog', NULL, 'T, u' FROM pages""",
+)
+def p17_link_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link headers with commas and semicolons inside addresses and quotes, and a relation of no interest."""
+    header = F.concat(F.lit('<https://h.example/a,'), "page_id", F.lit('>; rel=service-desc; type="x;y", </doc>; title="T, u"; rel="service-doc api-catalog", <x>; rel=next'))
+    found = pages.header_links(table(spark, sf_dir, "pages").select("page_id", "url", header.alias("header")))
+    return found.select("page_id", "url", "rel", "type", "title")
+
+
+@query(
+    "p18_page_anatomy",
+    """SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, len(regexp_extract_all(html, '<h[1-3]>')) + 1 AS headings, len(regexp_extract_all(html, '<a href')) + 1 AS anchors,
+       'https://docs.example/v' || page_id % 3 || '/swagger-init.js' AS script, 'https://docs.example/v' || page_id % 3 || '/js/main.js' AS data_main,
+       len(regexp_extract_all(html, '<script>')) + 2 AS inline_scripts, 'https://docs.example/spec/' || page_id || '.yaml' AS spec_attribute FROM pages""",
+)
+def p18_page_anatomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.anatomy(made_pages(spark, sf_dir))
+    count = lambda c: F.size(c).cast("long").alias(c)
+    one = lambda c, name: F.array_join(c, " ").alias(name)
+    return found.select(
+        "page_id", "title", count("headings"), count("anchors"), one("scripts", "script"), one("data_main", "data_main"), count("inline_scripts"), one("spec_attributes", "spec_attribute")
+    )
+
+
+@query(
+    "p16_viewer_configurations",
+    """SELECT page_id, mechanism, replace(reference, '@', page_id::VARCHAR) AS reference FROM pages, (VALUES ('swagger_ui_config', '/swagger/@.json'), ('swagger_ui_config', '/a.json'), ('swagger_ui_config', '/b.json'),
+       ('redoc_config', 'https://docs.example/redoc.yaml'), ('config_url', '/cfg'), ('configuration_not_literal', NULL), ('script_literal', '/files/api-docs.json?x=@')) v(mechanism, reference)""",
+)
+def p16_viewer_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What viewers of contracts are configured to show, and addresses in scripts that look like contracts."""
+    return pages.viewer_references(made_pages(spark, sf_dir)).select("page_id", "mechanism", "reference")
