@@ -32,3 +32,9 @@ BROADCAST_BYTES = 96 << 20
 def near(df: DataFrame, size: int) -> DataFrame:
     """``df`` to be broadcast, if the size that was counted for it allows it."""
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` for work that costs far more than moving a row: a table of fewer parts than the cluster has cores is dealt to all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

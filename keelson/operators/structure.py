@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import sys
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
-from keelson.operators.staging import staged
+from keelson.operators.staging import spread, staged
 
 ELEMENT = "[]"
 UNKNOWN = "unknown"
@@ -53,7 +54,7 @@ def _no_constant(name: str) -> None:
     raise ValueError("not_a_number")
 
 
-def seen_in(text: str | None) -> tuple[list[dict] | None, str | None]:
+def found_in(text: str | None) -> tuple[set | None, str | None]:
     """Distinct (path, type, whether an array there had elements) of one document, or the code of its rejection."""
     try:
         value = json.loads(text or "", object_pairs_hook=_unique, parse_constant=_no_constant)
@@ -75,7 +76,13 @@ def seen_in(text: str | None) -> tuple[list[dict] | None, str | None]:
             todo += [((*path, key), child) for key, child in value.items()]
         elif kind == "array":
             todo += [((*path, ELEMENT), child) for child in value]
-    return [{"path": list(p), "type": t, "filled": f} for p, t, f in found], None
+    return found, None
+
+
+def seen_in(text: str | None) -> tuple[list[dict] | None, str | None]:
+    """``found_in`` as rows."""
+    found, code = found_in(text)
+    return None if found is None else [{"path": list(p), "type": t, "filled": f} for p, t, f in found], code
 
 
 def with_structure(docs: DataFrame, json_column: str = "json") -> DataFrame:
@@ -97,13 +104,33 @@ def with_structure(docs: DataFrame, json_column: str = "json") -> DataFrame:
     )
 
 
+def seen_pairs(docs: DataFrame, keys: list[str], json_column: str = "json") -> DataFrame:
+    """keys, path, type and filled of all documents that can be read; what documents of one batch share comes once."""
+    kept = docs.select(*keys).schema.fields
+    types = [f.dataType for f in kept]
+    names = [*keys, "path", "type", "filled"]
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *own, texts = (c.to_pylist() for c in batch.columns)
+            found = {(*key, *pair) for *key, text in zip(*own, texts) for pair in found_in(text)[0] or ()}
+            if found:
+                columns = list(zip(*found))
+                arrays = [pa.array(c, batch.schema.field(i).type) for i, c in enumerate(columns[: len(keys)])]
+                arrays += [pa.array(map(list, columns[-3]), pa.list_(pa.string())), pa.array(columns[-2], pa.string()), pa.array(columns[-1], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    schema = ", ".join([*(f"`{f.name}` {t.simpleString()}" for f, t in zip(kept, types)), "path array<string>, type string, filled boolean"])
+    return docs.select(*keys, json_column).mapInArrow(collect, schema)
+
+
 def structures(docs: DataFrame, keys: list[str], json_column: str = "json") -> DataFrame:
     """The merged structure of each group of documents: keys, path, type (a sorted union joined by |).
 
     Documents that can't be read are left out; ``with_structure`` names them.  Types
     are collected map-side, at most seven for a path, so a group may be of any size.
     """
-    pairs = with_structure(docs, json_column).select(*keys, F.explode("seen").alias("s")).select(*keys, "s.*")
+    pairs = seen_pairs(spread(docs), keys, json_column)
     merged = pairs.groupBy(*keys, "path").agg(
         F.collect_set("type").alias("types"), F.max(F.when(F.col("type") == "array", F.col("filled"))).alias("filled")
     )

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from keelson.operators.staging import spread
+
 try:
     import yaml
 except ImportError:  # an optional reader
@@ -232,7 +234,7 @@ def read_nodes(documents: DataFrame, content: str = "content", url: str | None =
                     )
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{c}` {t}" for c, _, t in COLUMNS)])
-    return documents.select(*names, content).mapInArrow(flatten, schema)
+    return spread(documents.select(*names, content)).mapInArrow(flatten, schema)
 
 
 def nested(leaves: list[tuple[list[str], str]]) -> str:
