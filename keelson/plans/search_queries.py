@@ -31,7 +31,7 @@ def s3_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s4_results_of_every_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results fanned out to every location; addresses below /de/ gave none."""
     locations = table(spark, sf_dir, "pages").select("page_id", "url", F.when(F.col("page_id") % 3 == 0, 1000).alias("cap"))
-    fetched = search.once_each(locations).where("NOT contains(url, '/de/')").select("url", "cap", F.length("url").alias("size"))
+    fetched = search.once_each(locations).where("NOT contains(url, '/de/')").select("url", "cap", F.length("url").cast("long").alias("size"))
     return search.fanned_out(locations, fetched)
 
 
