@@ -5,6 +5,7 @@ from keelson.plans import (  # noqa: F401
     corpus_queries,
     history_queries,
     page_queries,
+    record_queries,
     search_queries,
     stream_queries,
     structure_queries,
