@@ -136,3 +136,11 @@ def test_of_accepted_ones_that_overlap_the_most_probable_stays():
     model = {found["1234 4111 1111 1111"]: 0.6, found["4111 1111 1111 1111"]: 0.9}
     assert [text[a:b] for _, a, b, _ in pii.accepted(pii.candidates(text), model)] == ["4111 1111 1111 1111"]
     assert pii.redact_text(text, [c[:4] for c in pii.judged(pii.candidates(text), model)]) == "card <CARD>"
+
+
+def test_nothing_is_added_inside_a_long_base_span():
+    """An e-mail whose local part holds thirty addresses, and then what looks like a number of another kind."""
+    text = "_".join(f"10.0.{i}.1" for i in range(30)) + "_123-45-6789@example.com"
+    base = [(a, b) for kind, a, b in pii.base_spans(text) if kind == "email"]
+    assert base == [(0, len(text))]
+    assert all(is_base for _, _, _, is_base, _ in pii.candidates(text))
