@@ -62,6 +62,15 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Tables of up to so many counted bytes are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+
+
+def near(df: DataFrame, size: int) -> DataFrame:
+    """``df`` to be broadcast, if the size that was counted for it allows it."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 #: Rows and bytes of one Arrow batch; a Python worker's memory follows these, not the table.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, decontaminate, html_main, lang_cnn, license_scan, pii, quality_ledger, simhash, url_filter, warc
-from keelson.llm.common import table
+from keelson.llm import bpe, decontaminate, html_main, lang_cnn, license_scan, merkle, pii, quality_ledger, simhash, url_filter, vector_codes, warc
+from keelson.llm.common import ascii_lower, table
 
 #: Operator 2: the base rules, as (host, path, action).
 BASE_RULES = (
@@ -104,6 +104,31 @@ def op10_quality_ledger(spark: SparkSession, sf_dir: str, policy: str = "prose-1
     )
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of the manifest of ``documents``; every fifth document by its hash is tampered with: its letters A-Z are lower-cased."""
+    docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    fields = [F.col(c) for c in merkle.FIELDS]
+    own, tampered = merkle.digest_of(*fields), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    other = merkle.digest_of(*fields[:-1], ascii_lower(F.col("text")))
+    leaves = docs.select(F.col("source").alias("tree"), "doc_id", own.alias("leaf"), F.when(tampered, other).alias("claim"))
+    manifest = merkle.build(leaves.withColumn("claim", F.coalesce("claim", "leaf")))
+    root, folded = F.lit(manifest.root).cast("string"), merkle.fold(F.col("claim"), F.col("path"))
+    found = merkle.proofs(manifest).select(
+        "doc_id", "leaf", "subroot", root.alias("root"), merkle.joined(merkle.siblings(F.col("path"))).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    )
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, dimension = vector_codes.kept(
+        table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", vector_codes.SCALE, vector_codes.PARTS
+    )
+    books = vector_codes.fit(rows, dimension)
+    found = vector_codes.with_label_errors(vector_codes.encode(rows, books))
+    return found.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))

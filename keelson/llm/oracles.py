@@ -47,7 +47,73 @@ FROM w LEFT JOIN r USING (doc_id)
 """
 
 
+def _merkle_sql(deepest: int = 6) -> str:
+    """Trees of up to 16 ** deepest leaves, level by level."""
+    text = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda last: f"sha256({' || '.join(text(c) for c in ('doc_id', 'source', 'lang', 'n_chars', last))})"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+      lambda c, o: list_reduce(list_prepend(xor(c, o), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)), 4294967295)"""
+    steps = [f"""
+d AS (SELECT doc_id, source, {leaf("text")} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(lower)} ELSE {leaf("text")} END AS claim FROM documents),
+x AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM d),
+n0 AS (SELECT source AS tree, i, n, leaf AS digest FROM x)"""]
+
+    def tree(at: str, runs: str) -> str:
+        steps.extend(
+            f"""{runs}{k} AS (SELECT tree, i // 16 AS run, (n + 15) // 16 AS n, list(digest ORDER BY i) AS ds FROM {at}{k} WHERE n > 1 GROUP BY ALL),
+{at}{k + 1} AS (SELECT tree, run AS i, n, sha256(array_to_string(ds, '')) AS digest FROM {runs}{k})"""
+            for k in range(deepest)
+        )
+        return " UNION ALL ".join(f"SELECT tree, digest FROM {at}{k} WHERE n = 1" for k in range(deepest + 1))
+
+    subroots = tree("n", "r")
+    steps.append(f"s AS ({subroots})")
+    steps.append("t0 AS (SELECT 0 AS tree, tree AS name, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS i, count(*) OVER () AS n, digest FROM s)")
+    roots = tree("t", "u")
+    steps.append(f"g AS ({roots})")
+    steps.append("f0 AS (SELECT x.doc_id, leaf, t0.digest AS subroot, source, x.i, t0.i AS j, claim AS held, '' AS proof FROM x JOIN t0 ON x.source IS NOT DISTINCT FROM t0.name)")
+    for k in range(2 * deepest):
+        runs, level, at = (f"r{k}", k, "i") if k < deepest else (f"u{k - deepest}", k - deepest, "j")
+        of = "f.source IS NOT DISTINCT FROM o.tree" if k < deepest else "o.tree = 0"
+        slot = f"((f.{at} // {16**level}) % 16 + 1)"
+        steps.append(f"""f{k + 1} AS (SELECT doc_id, leaf, subroot, source, i, j,
+  CASE WHEN ds IS NULL THEN held ELSE sha256(array_to_string(list_transform(ds, lambda d, p: CASE WHEN p = {slot} THEN held ELSE d END), '')) END AS held,
+  proof || coalesce(array_to_string(list_filter(ds, lambda d, p: p <> {slot}), ''), '') AS proof
+  FROM f{k} f LEFT JOIN {runs} o ON {of} AND o.run = f.{at} // {16 ** (level + 1)})""")
+    return f"""
+WITH {", ".join(steps)}
+SELECT doc_id, leaf, subroot, g.digest AS root, sha256(proof) AS proof_sha256, held AS folded_root, held = g.digest AS verified
+FROM f{2 * deepest}, g
+"""
+
+
+def _codes_sql() -> str:
+    near = lambda k: f"""
+a{k} AS MATERIALIZED (SELECT vec_id, label, part, x, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+  SELECT vec_id, label, p.part, p.x, entry, list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, c.x) + list_inner_product(c.x, c.x) AS d
+  FROM p JOIN c{k} c USING (part)) GROUP BY ALL)"""
+    mean = lambda k: f"""
+c{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN (
+  SELECT part, entry, list(floor(total / n) ORDER BY place) AS x FROM (
+    SELECT part, entry, place, sum(x[place]) AS total, count(*) AS n FROM a{k}, range(1, 17) r(place) GROUP BY ALL) GROUP BY ALL) m USING (part, entry))"""
+    steps = [near(0)] + [step for k in range(4) for step in (mean(k), near(k + 1))]
+    return f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+           WHERE len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding) AND len(embedding) > 0),
+p AS MATERIALIZED (SELECT vec_id, label, part, list_slice(v, 16 * part + 1, 16 * part + 16) AS x FROM k, range(4) q(part)),
+c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM p QUALIFY entry < 256),
+{", ".join(steps)},
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda y: y::BIGINT), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c4),
+r AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a4 GROUP BY ALL)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM r, h
+"""
+
+
 SQL = {
+    "op12_merkle": _merkle_sql(),
+    "op13_vector_codes": _codes_sql(),
     "op5_license_scan": _license_sql(),
     "op6_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
