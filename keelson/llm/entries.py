@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm import bpe, decontaminate, html_main, lang_cnn, license_scan, merkle, pii, quality_ledger, simhash, url_filter, vector_codes, warc
+from keelson.llm import bpe, decontaminate, html_main, lang_cnn, license_scan, merkle, pii, quality_ledger, simhash, suffix_dedup, url_filter, vector_codes, warc
 from keelson.llm.common import ascii_lower, table
 
 #: Operator 2: the base rules, as (host, path, action).
@@ -104,6 +104,11 @@ def op10_quality_ledger(spark: SparkSession, sf_dir: str, policy: str = "prose-1
     )
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.digested(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proofs of the manifest of ``documents``; every fifth document by its hash is tampered with: its letters A-Z are lower-cased."""
     docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
