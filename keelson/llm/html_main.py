@@ -6,10 +6,17 @@ a half and a third further up); an element's points are discounted by the share
 link text below it.  The best container is kept with all that stands beside it or
 further up and doesn't consist of links (or scores well next to it), or the whole
 article where the best container lies in one, with articles beside it that do about as
-well.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are left out by element, by role, or by a class or id name that as a
+well or hold no links.  Where there is a main element with text, the best container is
+one of it.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
+and reader comments are left out by element, by role, or by a class or id name that as a
 whole says so; a single word of a longer name only lowers the score.
 
+A name is no proof, so it is held against the text: an element stays in spite of its
+name if it holds nearly all of the text outside links that no other name leaves out, or
+half of it and an article, a main element or a first heading, and if nothing else claims
+to be the article; of several such names the one that holds most is doubted first.
+Headings, rows, cells and paragraphs are left out only for names that leave no doubt.
+
 Cases: a null or empty html has the text ''; markup that is cut off or badly nested
 is closed where HTML closes it (a script, style, title, textarea or iframe without
 an end tag reaches to the end of the page, a button, select, drawing or template to
@@ -68,6 +75,13 @@ GOOD = frozenset("article body content main post entry story text".split())
 #: Words of names that tell a state or a topic, not what the element is ("has-sidebar", "tag-ads").
 STATE = frozenset("no not has with without is hide show open tag category type format lang theme".split())
 READER = frozenset("comment comments reply replies".split())
+#: Elements of running text, which doubtful names don't leave out.
+RUNNING = frozenset("h1 h2 h3 h4 h5 h6 p tr td th tbody thead caption blockquote pre dt dd".split())
+#: What marks an article from within, and how much of the page's text outside links an element must hold to stay in spite of its name.
+MARKS = frozenset("article main h1".split())
+MARKED_SHARE, UNMARKED_SHARE = 0.5, 0.9
+#: Names within names that are doubted, at most.
+NAMES_DEEP = 32
 #: Start tags that close an open element of their own kind, up to the nearest of the barriers.
 CLOSES = {
     "p": ({"p"}, frozenset()), "li": ({"li"}, frozenset({"ul", "ol", "menu"})), "dt": ({"dt", "dd"}, frozenset({"dl"})),
@@ -90,8 +104,8 @@ _ATTRIBUTE = re.compile(r"([^\s/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def standing(names: str) -> tuple[bool, float]:
-    """Whether class and id names leave an element out, and the points that they give or take.
+def standing(names: str, running: bool = False) -> tuple[bool, float]:
+    """Whether class and id names leave an element (of running text or not) out, and the points that they give or take.
 
     A name is judged whole: one of its words alone (as in "market-share" or
     "related-work") only takes points.
@@ -103,7 +117,7 @@ def standing(names: str) -> tuple[bool, float]:
             continue
         core = [w for w in words if w not in PLAIN]
         last = core[-1] if core else ""
-        noisy = bool(core) and all(w in NOISE or w in DOUBTFUL for w in core) or last in NOISE
+        noisy = last in NOISE or not running and bool(core) and all(w in NOISE or w in DOUBTFUL for w in core)
         out |= noisy
         if not noisy:
             points += 15.0 * bool(GOOD.intersection(words)) - 10.0 * any(w in NOISE or w in DOUBTFUL for w in words)
@@ -111,10 +125,11 @@ def standing(names: str) -> tuple[bool, float]:
 
 
 class Node:
-    __slots__ = ("tag", "parent", "out", "score", "chars", "linked", "depth", "kept")
+    __slots__ = ("tag", "parent", "out", "named", "reader", "marked", "score", "chars", "linked", "depth", "kept")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool, score: float) -> None:
-        self.tag, self.parent, self.out, self.score = tag, parent, out, score
+    def __init__(self, tag: str, parent: Node | None, out: bool, named: bool, reader: bool, score: float) -> None:
+        self.tag, self.parent, self.out, self.named, self.reader, self.score = tag, parent, out, named, reader, score
+        self.marked = False
         self.chars = self.linked = 0
         self.depth = 0 if parent is None else parent.depth + 1
         self.kept = False
@@ -122,7 +137,7 @@ class Node:
 
 def opened(tag: str, attributes: str, parent: Node) -> Node:
     """A node with its standing (left out or not) and the bonus of its names."""
-    points = 0.0
+    points, named, reader = 0.0, False, False
     out = parent.out or tag in LEFT_OUT
     if tag == "header" and not out:
         above = parent
@@ -135,16 +150,62 @@ def opened(tag: str, attributes: str, parent: Node) -> Node:
             seen.setdefault(name.lower(), a or b or c)  # of equal names the first counts
         out = out or "hidden" in seen or seen.get("aria-hidden", "").lower() == "true" or seen.get("role", "").lower() in LEFT_OUT_ROLES
         out = out or "display:none" in seen.get("style", "").lower().replace(" ", "")
-        named, points = standing(f"{seen.get('class', '')} {seen.get('id', '')}")
+        names = f"{seen.get('class', '')} {seen.get('id', '')}"
+        named, points = standing(names, tag in RUNNING)
+        reader = bool(READER.intersection(w.lower() for w in _WORD.findall(names)))
         if tag == "article":  # its names often tell topics, so only those of reader comments count
             named = bool(READER.intersection(seen.get("class", "").lower().split()))
-        out = out or named and tag not in ("html", "body", "main")
-    return Node(tag, parent, out, OF_ARTICLE * (tag in ("article", "main")) + points)
+        named = named and tag not in ("html", "body", "main")
+    return Node(tag, parent, out, named, reader, OF_ARTICLE * (tag in ("article", "main")) + points)
+
+
+def judged_names(nodes: list[Node], found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """The blocks that no name leaves out, after holding names against the text; nodes below a name that holds are out."""
+    for node, block, linked in found:
+        node.chars += len(block)
+        node.linked += linked
+    for node in reversed(nodes[1:]):
+        node.parent.chars += node.chars
+        node.parent.linked += node.linked
+        node.parent.marked |= node.marked or node.tag in MARKS and node.chars > node.linked
+    own = [0] * len(nodes)  # text outside links that stands in the node itself
+    places = {id(n): i for i, n in enumerate(nodes)}
+    above = [0] + [places[id(n.parent)] for n in nodes[1:]]
+    for node, block, linked in found:
+        own[places[id(node)]] += len(block) - linked
+    for _ in range(NAMES_DEEP):
+        # Outermost names, and what stands below none of them.
+        free, tops = [True] * len(nodes), []
+        for i, node in enumerate(nodes):
+            free[i] = free[above[i]] and not node.named
+            if node.named and free[above[i]]:
+                tops.append(node)
+        if not tops:
+            break
+        # An element that no name touches and that claims to be the article settles it; else the largest name is doubted.
+        claimed = any(free[i] and n.tag in ("article", "main") and n.chars > n.linked for i, n in enumerate(nodes))
+        most = max(tops, key=lambda n: (not n.reader, n.chars - n.linked))
+        holds, rest = most.chars - most.linked, sum(n for i, n in enumerate(own) if free[i])
+        if claimed or not holds or holds < (MARKED_SHARE if most.marked and not most.reader else UNMARKED_SHARE) * (holds + rest):
+            break
+        most.named = False
+    for node in nodes[1:]:
+        node.out |= node.named or node.parent.out
+    for node in nodes:
+        node.chars = node.linked = 0
+    kept = [x for x in found if not x[0].out]
+    for node, block, linked in kept:
+        node.chars += len(block)
+        node.linked += linked
+    for node in reversed(nodes[1:]):
+        node.parent.chars += node.chars
+        node.parent.linked += node.linked
+    return kept
 
 
 def blocks_of(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
     """The nodes of the block tree, parents first, and its blocks of text (with characters in links) in page order, without what is left out."""
-    root = here = Node("", None, False, 0.0)
+    root = here = Node("", None, False, False, False, 0.0)
     nodes = [root]
     found: list[tuple[Node, str, int]] = []
     hidden: list[tuple[str, Node]] = []  # open elements of HIDDEN, each with the block that it stands in
@@ -160,8 +221,6 @@ def blocks_of(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
             block = " ".join("".join(text).split())
             if block and not here.out:
                 found.append((here, block, min(linked, len(block))))
-                here.chars += len(block)
-                here.linked += min(linked, len(block))
             text.clear()
         linked = 0
 
@@ -255,10 +314,7 @@ def blocks_of(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
             here.out = here.out or bool(hidden)
             nodes.append(here)
     flush()
-    for node in reversed(nodes[1:]):
-        node.parent.chars += node.chars
-        node.parent.linked += node.linked
-    return nodes, found
+    return nodes, judged_names(nodes, found)
 
 
 def main_text(html: str | None) -> str:
@@ -277,16 +333,24 @@ def main_text(html: str | None) -> str:
             up.score += points * share
             up = up.parent
     worth = {k: n.score * (1 - n.linked / max(n.chars, 1)) for k, n in scored.items()}
-    best = max(scored, key=worth.__getitem__)  # dicts keep page order, so the first of equals wins
+    mains = {id(n) for n in nodes if n.tag == "main" and not n.out and n.chars > n.linked}
+
+    def in_main(node: Node | None) -> bool:
+        while node is not None and id(node) not in mains:
+            node = node.parent
+        return node is not None
+
+    able = [k for k, n in scored.items() if in_main(n)] if mains else list(scored)
+    best = max(able, key=worth.__getitem__)  # in page order, so the first of equals wins
     top = above = scored[best]
     while above is not None and above.tag not in ("article", "main"):
         above = above.parent
     if above is not None:
         above.kept = True
         for node in nodes[1:]:
-            # Another article beside it is kept if it does about as well and isn't a list of links.
+            # Another article beside it is kept if it holds no links, or does about as well and isn't a list of links.
             beside = node.parent is above.parent and node.tag == above.tag and node.linked <= LIGHT * node.chars
-            node.kept |= node.parent.kept or beside and node.score - OF_ARTICLE >= 0.5 * (above.score - OF_ARTICLE)
+            node.kept |= node.parent.kept or beside and (not node.linked or node.score - OF_ARTICLE >= 0.5 * (above.score - OF_ARTICLE))
         return "\n".join(block for node, block, _ in found if node.kept)
     top.kept = True
     up, around = top.parent, set()
@@ -297,7 +361,15 @@ def main_text(html: str | None) -> str:
     for node in nodes[1:]:
         good = node.parent is top.parent and worth.get(id(node), 0.0) >= max(10.0, 0.2 * worth[best])
         node.kept |= node.parent.kept or good or id(node) not in around and node.linked <= LIGHT * node.chars
-    return "\n".join(block for node, block, linked in found if node.kept or linked <= LIGHT * len(block))
+
+
+    def stands(node: Node, block: str, linked: int) -> bool:
+        """Beside the best container: little link text, or a paragraph of it among as much other text."""
+        around = node.parent
+        among = node.tag in RUNNING and around is not None and around.parent is not None and around.chars - around.linked >= len(block)
+        return linked <= LIGHT * len(block) or among
+
+    return "\n".join(x[1] for x in found if x[0].kept or stands(*x))
 
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

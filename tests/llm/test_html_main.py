@@ -103,6 +103,39 @@ def test_names_are_judged_whole(html, text):
     assert html_main.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<div class='layout-sidebar'><p>{LONG}</p><p>{LONG}</p></div><footer>f</footer>", f"{LONG}\n{LONG}"),
+        (f"<div class='content-sidebar'><article><p>{LONG}</p></article><p>Side.</p></div>", LONG),
+        (f"<div id='overlay'><h1>Title</h1><p>{LONG}</p></div><p>Imprint, all of it.</p>", f"Title\n{LONG}\nImprint, all of it."),
+        (f"<article><h2 class='section-header'>One</h2><h2 class='header'>Two</h2><p>{LONG}</p></article>", f"One\nTwo\n{LONG}"),
+        (f"<article><p>{LONG}</p><table><tr class='header'><td>Cell</td></tr></table><p class='related'>More.</p></article>", f"{LONG}\nCell\nMore."),
+        (f"<article><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article><article><p>Short.</p></article>", "\n".join([LONG] * 3 + ["Short."])),
+        (f"<div><p>{LONG}</p><p>{LONG}</p></div><div><p><a href=x>All of it is a link.</a></p><p>But this here is none.</p></div>", f"{LONG}\n{LONG}\nAll of it is a link.\nBut this here is none."),
+        (f"<main><p>Short, but main.</p></main><article><p>{LONG}</p></article>", "Short, but main."),
+        (f"<article>Re.</article><section class='comments'><p>{LONG}</p><p>{LONG}</p></section>", "Re."),
+        (f"<p>{LONG}</p><div class='comments'><h1>Comments</h1><p>{LONG}</p><p>{LONG}</p></div>", LONG),
+    ],
+)
+def test_names_are_held_against_the_text(html, text):
+    assert html_main.main_text(html) == text
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_made_pages_with_names_from_outside_the_lists(seed):
+    """Wrappers and headings named as sites name them, whatever words that takes; what is left out stands beside them."""
+    rng = random.Random(seed)
+    say = lambda: ", ".join("".join(rng.choice("abcdeé") for _ in range(rng.randrange(3, 9))) for _ in range(rng.randrange(12, 30))) + "."
+    wanted = [say() for _ in range(rng.randrange(4, 9))]
+    shapes = ["<h2 class='block-header'>%s</h2>", "<p class='intro-teaser'>%s</p>", "<h3 id='alert'>%s</h3>", "<p class='notice-text'>%s</p>", "<p class='widget'>%s</p>", "<div class='elementor-12'><p>%s</p></div>", "<p>%s</p>"]
+    inner = "".join(rng.choice(shapes) % x for x in wanted)
+    wrap = rng.choice(["<div class='layout-sidebar'>%s</div>", "<div class='td-ss-main-sidebar'><article>%s</article></div>", "<div id='page-overlay'><div class='col-8'>%s</div></div>", "<div class='has-toolbar wp-block'>%s</div>", "<article class='c-story share'>%s</article>", "<section class='promo' id=x9><h1>%s</h1></section>"])
+    body = wrap % inner if "<h1>" not in wrap else wrap.replace("%s", wanted[0]).replace("</h1>", "</h1>" + "".join(rng.choice(shapes) % x for x in wanted[1:]))
+    page = f"<body><header><p>{say()}</p></header><nav>{say()}</nav><div class='comments'>{say()}</div>{body}<div class='cookie-bar'>{say()}</div><footer>{say()}</footer></body>"
+    assert html_main.main_text(page) == "\n".join(wanted)
+
+
 @pytest.mark.parametrize("seed", range(60))
 def test_made_pages_against_what_was_put_in(seed):
     """Pages made of blocks that belong to the article and of what is left out, in many kinds of markup."""
