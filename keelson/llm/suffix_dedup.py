@@ -56,14 +56,16 @@ OFFSETS = LENGTH - TOKEN + 1
 #: Eight-byte words after and before an anchor.
 AFTER, BEFORE = 7, 5
 WORDS = AFTER + BEFORE
-#: Text of a chunk, about, and the pieces that anchors are found in; chunks for each shuffle partition, at least.
-CHUNK_BYTES, PIECE_BYTES, CHUNKS_EACH = 8 << 20, 1 << 20, 4
+#: Text of a chunk, about, and the pieces that anchors are found in.
+CHUNK_BYTES, PIECE_BYTES = 8 << 20, 1 << 20
+#: Smaller chunks give each shuffle partition as many as this, but none of less text, as each may write a row to each bucket.
+CHUNKS_EACH, LEAST_CHUNK_BYTES = 4, 256 << 10
 #: Suffixes that a bucket should hold; chunks and rows that splitters are sampled from; splitters at most.
 BUCKET_ROWS, SAMPLE_CHUNKS, SAMPLE_ROWS, MOST_RANGES = 200_000, 12, 120_000, 8192
 #: A key with more than this share of a bucket is followed further.
 HOT_SHARE = 0.25
-#: Buckets for each shuffle partition, at least, so that partitions even out.
-SPREAD = 8
+#: Smaller buckets give each shuffle partition as many as this, so that partitions even out, but none of fewer suffixes.
+SPREAD, LEAST_BUCKET_ROWS = 8, 10_000
 NO_ID = np.iinfo(np.int64).max
 
 _HIGH = np.uint64(0xFFFFFFFF00000000)
@@ -320,10 +322,11 @@ def planned(samples: list[Suffixes], ids: list[np.ndarray], rows: float, partiti
 
     keys = [key_bytes(k, node, own[at] if straddles else None) for at, node, k, straddles in dealt(s, count)]
     keys = np.sort(np.concatenate(keys)) if keys else np.empty(0, dtype="S1")
-    wanted = max(math.ceil(rows / bucket_rows), SPREAD * partitions)
+    wanted = max(math.ceil(rows / bucket_rows), min(SPREAD * partitions, math.ceil(rows / LEAST_BUCKET_ROWS)))
+    wanted = max(wanted, 1)
     ranges = max(1, min(wanted, MOST_RANGES, len(keys)))
     splitters = np.unique(keys[np.arange(1, ranges) * len(keys) // ranges]) if ranges > 1 else keys[:0]
-    return Plan(splitters, -(-wanted // MOST_RANGES), hot, SPREAD * partitions)
+    return Plan(splitters, -(-wanted // MOST_RANGES), hot, wanted)
 
 
 # --- Payloads: many suffixes or spans in one row --------------------------------------------------------------------
@@ -630,7 +633,7 @@ def _applied(docs: DataFrame, doc_id: str, text: str, bucket_rows: int, out: str
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`"))).alias("n")).head()["n"] or 0
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunk = fresh("chunk", docs)
-    count = max(-(-size // CHUNK_BYTES), CHUNKS_EACH * partitions)
+    count = max(-(-size // CHUNK_BYTES), min(CHUNKS_EACH * partitions, -(-size // LEAST_CHUNK_BYTES)), 1)
     chunked = docs.withColumn(chunk, F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), F.lit(count)))
     plan = plan_for(chunked, doc_id, text, size, partitions, bucket_rows)
     kinds = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", out: kind}
