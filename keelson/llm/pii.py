@@ -8,19 +8,23 @@
    words before, gazetteer, adverse context, clean boundaries.
 3. Candidates are counted over the whole corpus by pattern: kind, votes, and features
    of the span (length, shape) and of its surroundings (the characters beside it, the
-   form of the word before).  Each has a few classes, so the number of patterns is
-   bounded, whatever the corpus.
+   form of the word before).
 4. Expectation-maximisation on the counts of votes estimates each labeler's
    reliability and a posterior; a logistic span classifier is then trained on the
-   patterns, weighted by count, with the posteriors as soft labels.  Two spans with
-   equal votes differ by their features.
+   most frequent patterns (at most MOST_PATTERNS), weighted by count, with the
+   posteriors as soft labels.  Two spans with equal votes differ by their features, and
+   only the classifier's weights go to the tasks that judge.
 5. The spans that the classifier accepts are kept.  Base spans stay always; an added
    span never overlaps a base one.  Candidates may overlap each other: all are
    judged, and of the accepted ones that overlap the most probable stays, then the
    longest.  Redaction covers every accepted one.
 
 ``find`` searches each text once: the candidates are written to the shared folder,
-counted there, and judged there.
+counted there, and judged there.  ``redact`` searches twice, to learn and to replace,
+as it would otherwise have to write or shuffle the texts.
+
+A secret is the whole run that a word for secrets is given, dots and all, whatever its
+length (from four characters with a digit, twelve without), or a key of an issuer's form.
 
 Cases: a null text counts as empty and has no spans; equal rows get equal spans;
 spans of one kind never overlap, and of two kinds at the same start the order of
@@ -68,10 +72,12 @@ _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DATE = re.compile(r"(?<![0-9./-])(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9./-])")
 _NAME = re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? [A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30})?")
 # What a sign of assignment gives to a word for secrets, and forms that issuers give their keys.
-_ASSIGNED = re.compile(r"[:=][ \t]{0,3}[\"']?([A-Za-z0-9_+=-]{12,128})(?![A-Za-z0-9_+=-])")
+_ASSIGNED = re.compile(r"[:=][ \t]{0,3}[\"']?([^\s\"'<>,;:()\[\]{}]++)")
 _SECRET_WORD = re.compile(r"(?i)(?:token|secret|passwd|password|pwd|(?:api|access|auth|private)[ _-]?key|bearer)[\"']?[ \t]{0,3}\Z")
-_ISSUED = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,128}|xox[abp]-[A-Za-z0-9-]{10,128})(?![A-Za-z0-9])")
-_ISSUED_SIGNS = ("AKIA", "gho_", "ghp_", "ghs_", "ghu_", "sk-", "xox")
+_ISSUED = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}+|xox[abp]-[A-Za-z0-9-]{10,}+|eyJ[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++){1,4})(?![A-Za-z0-9])")
+_ISSUED_SIGNS = ("AKIA", "gho_", "ghp_", "ghs_", "ghu_", "sk-", "xox", "eyJ")
+#: A value given to a word for secrets counts from so many characters on, one without digits from so many.
+SECRET_LEAST, WORDLIKE_LEAST = 4, 12
 _DIGIT = re.compile("[0-9]")
 
 #: Words that speak for a kind when they stand shortly before it.
@@ -149,7 +155,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def loose_spans(text: str) -> list[tuple[str, int, int]]:
     """Further candidates."""
     found = [("name", *m.span()) for m in _NAME.finditer(text)]
-    found += [("secret", *m.span(1)) for m in _ASSIGNED.finditer(text) if _SECRET_WORD.search(text, max(0, m.start() - 24), m.start())]
+    for m in _ASSIGNED.finditer(text):
+        if m.end(1) - m.start(1) >= SECRET_LEAST and _SECRET_WORD.search(text, max(0, m.start() - 24), m.start()):
+            value = m[1].rstrip(".!?")  # the end of a sentence isn't part of it
+            if len(value) >= (SECRET_LEAST if _DIGIT.search(value) else WORDLIKE_LEAST):
+                found.append(("secret", m.start(1), m.start(1) + len(value)))
     if any(sign in text for sign in _ISSUED_SIGNS):
         found += [("secret", *m.span()) for m in _ISSUED.finditer(text)]
     if "at)" in text or "at]" in text:
@@ -284,13 +294,42 @@ def features(pattern: str) -> list[float]:
     ]
 
 
-def train(counts: dict[str, int], steps: int = 400) -> dict[str, float]:
-    """The span classifier's probability of each pattern: weighted logistic regression on the EM posteriors."""
+class Model(dict):
+    """Probability of patterns that a candidate is personal data; those not held yet follow from the classifier's weights."""
+
+    def __init__(self, weights: np.ndarray | None = None):
+        self.weights = weights
+
+    def __missing__(self, pattern: str) -> float:
+        if self.weights is None:
+            raise KeyError(pattern)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[pattern] = p = float(probability(np.array(features(pattern)) @ self.weights))
+        return p
+
+    def __reduce__(self):
+        return Model, (self.weights,)  # tasks get the weights only
+
+
+#: Patterns whose probability is remembered.
+REMEMBERED = 1 << 16
+#: The classifier is fitted on so many patterns at most, the most frequent; the labelers' reliabilities on all.
+MOST_PATTERNS = 100_000
+
+
+def probability(score):
+    return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+
+
+def train(counts: dict[str, int], by_votes: dict[str, int] | None = None, steps: int = 400) -> Model:
+    """The span classifier: weighted logistic regression on the EM posteriors, which rest on ``by_votes`` (of ``counts`` if not given)."""
     if not counts:
-        return {}
-    by_votes: dict[str, int] = {}
-    for p, n in counts.items():
-        by_votes[votes_of(p)] = by_votes.get(votes_of(p), 0) + n
+        return Model()
+    if by_votes is None:
+        by_votes = {}
+        for p, n in counts.items():
+            by_votes[votes_of(p)] = by_votes.get(votes_of(p), 0) + n
     soft = estimate(by_votes)
     patterns = sorted(counts)
     x = np.array([features(p) for p in patterns])
@@ -299,14 +338,14 @@ def train(counts: dict[str, int], steps: int = 400) -> dict[str, float]:
     w = w / w.sum()
     beta = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        p = probability(x @ beta)
         grad = x.T @ (w * (p - y)) + 1e-4 * beta
         curve = (x.T * (w * p * (1 - p))) @ x + 1e-3 * np.eye(len(beta))
         step = np.linalg.solve(curve, grad)
         beta -= step / max(1.0, float(np.abs(step).max()))
         if np.abs(step).max() < 1e-8:
             break
-    return dict(zip(patterns, (1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))).tolist()))
+    return Model(beta)
 
 
 CANDIDATE = StructType(
@@ -331,13 +370,17 @@ def candidates_column(text: Column) -> Column:
     return search(text)
 
 
-def learned(found: Column, rows: DataFrame) -> dict[str, float]:
-    """The model trained on the counts of the patterns of a candidate column."""
-    counted = rows.select(F.explode(F.transform(found, lambda c: c["pattern"])).alias("pattern")).groupBy("pattern").count()
-    return train({r["pattern"]: r["count"] for r in counted.collect()})
+def learned(found: Column, rows: DataFrame) -> Model:
+    """The model trained on the counts of the patterns of a candidate column, counted over all rows."""
+    patterns = rows.select(F.explode(F.transform(found, lambda c: c["pattern"])).alias("pattern"))
+    counted = settle(patterns.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")))
+    votes = counted.groupBy(F.regexp_extract("pattern", r"^(.*)\|", 1).alias("votes")).agg(F.sum("n").alias("n"))
+    most = counted.orderBy(F.col("n").desc(), "pattern").limit(MOST_PATTERNS)
+    # Kinds x three votes of each labeler bound the first, MOST_PATTERNS the second.
+    return train({r["pattern"]: r["n"] for r in most.collect()}, {r["votes"]: r["n"] for r in votes.collect()})
 
 
-def learn(docs: DataFrame, text: str = "text") -> dict[str, float]:
+def learn(docs: DataFrame, text: str = "text") -> Model:
     """Count the patterns of all candidates of all texts, and train on the counts."""
     return learned(candidates_column(F.col(f"`{text}`")), small_batches(docs))
 
@@ -350,13 +393,18 @@ SPAN = StructType(
 )
 
 
-def judged(found: list[tuple], model: dict[str, float]) -> list[tuple[str, int, int, bool, float]]:
+def judged(found: list[tuple], model: Model) -> list[tuple[str, int, int, bool, float]]:
     """Of candidates, base spans and all that the classifier accepts, with its probability, by start and then kind; added ones may overlap."""
-    kept = [(*c[:4], model.get(c[4], 0.0)) for c in found]
+    kept = []
+    for c in found:
+        try:
+            kept.append((*c[:4], model[c[4]]))
+        except KeyError:  # nothing is known of it
+            kept.append((*c[:4], 0.0))
     return sorted((c for c in kept if c[3] or c[4] >= ACCEPT), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
-def accepted(found: list[tuple], model: dict[str, float]) -> list[tuple[str, int, int, bool]]:
+def accepted(found: list[tuple], model: Model) -> list[tuple[str, int, int, bool]]:
     """Spans of a text by start, then by kind as listed; of added ones that overlap the most probable, then the longest."""
     all_of_them = judged(found, model)
     kept = [c[:4] for c in all_of_them if c[3]]
@@ -368,7 +416,7 @@ def accepted(found: list[tuple], model: dict[str, float]) -> list[tuple[str, int
     return sorted(kept, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def spans_column(found: Column, model: dict[str, float]) -> Column:
+def spans_column(found: Column, model: Model) -> Column:
     """Array of struct(kind, start, end, is_base) of a candidate column; places in code points, end exclusive."""
 
     @F.arrow_udf(ArrayType(SPAN))
@@ -382,7 +430,7 @@ def spans_column(found: Column, model: dict[str, float]) -> Column:
     return choose(found)
 
 
-def find(docs: DataFrame, text: str = "text", out: str = "pii_spans", model: dict[str, float] | None = None) -> DataFrame:
+def find(docs: DataFrame, text: str = "text", out: str = "pii_spans", model: Model | None = None) -> DataFrame:
     """``docs`` without the text, with the accepted spans; the model is learned from the same texts unless given."""
     if out.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"column {out} is there already")
@@ -403,7 +451,7 @@ def redact_text(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
     return "".join([*out, text[done:]])
 
 
-def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", model: dict[str, float] | None = None) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", model: Model | None = None) -> DataFrame:
     """``docs`` with the spans of every text replaced, and its length column brought in line; null stays null."""
     model = learn(docs, text) if model is None else model
 

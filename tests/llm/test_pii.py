@@ -1,3 +1,4 @@
+import pickle
 import hashlib
 import random
 import re
@@ -144,3 +145,27 @@ def test_nothing_is_added_inside_a_long_base_span():
     base = [(a, b) for kind, a, b in pii.base_spans(text) if kind == "email"]
     assert base == [(0, len(text))]
     assert all(is_base for _, _, _, is_base, _ in pii.candidates(text))
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("api_key=" + "aB3" * 50, "aB3" * 50), ("token: " + "x9_" * 4000, "x9_" * 4000),
+        ("auth token: eyJhbGci0i.eyJzdWIi1.SflKxw2", "eyJhbGci0i.eyJzdWIi1.SflKxw2"), ("Bearer eyJhbGci0i.eyJzdWIi1.SflKxw2 sent", "eyJhbGci0i.eyJzdWIi1.SflKxw2"),
+        ("password: hunter2.", "hunter2"), ("Password = 'p@ss!w0rd#' ok", "p@ss!w0rd#"), ("sk-" + "a1B2" * 60, "sk-" + "a1B2" * 60), ("pwd: correcthorsebattery", "correcthorsebattery"),
+    ],
+)
+def test_secrets_are_whole_runs_of_any_length(text, want):
+    assert want in [text[a:b] for kind, a, b in pii.loose_spans(text) if kind == "secret"]
+
+
+def test_words_after_a_colon_are_no_secrets():
+    assert not [s for s in pii.loose_spans("The password: please ask. Token: none. Key: see below. url: https://a.b/c1") if s[0] == "secret"]
+
+
+def test_the_model_is_sent_as_weights_and_judges_unseen_patterns():
+    counts = {"name|0000++|10lssw": 50, "name|0000-+|10lssw": 40, "iban|++++0+|2 1ssw": 30, "card|0-000-|2 1ssw": 20}
+    model = pii.train(counts)
+    known = {p: model[p] for p in counts}
+    sent = pickle.loads(pickle.dumps(model))
+    assert len(sent) == 0 and {p: sent[p] for p in counts} == known and 0 < sent["ssn|+++00+|1-hssw"] < 1
