@@ -7,7 +7,9 @@
    Phrases with the same two words at the same distance share a pair, so neither
    overlapping windows nor items of one template multiply what is searched.
 3. Store the postings (text, word, position) of those rare words; the rarest one's
-   posting keeps the words around it, 12 on either side.
+   posting keeps the words around it, 12 on either side, but for phrases of one word.
+   Where the rare words are too many to be broadcast, bare postings are joined with
+   them, and only the texts of those that lead are read again for what stands around.
 4. Offset-adjusted lists of a pair's two words are intersected: their positions less
    their places in the pair must give the same start.
 5. What is left is compared word for word.  Each occurrence of a window is found,
@@ -46,11 +48,15 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a settled table whose size in bytes is checked."""
+def _fits(df: DataFrame) -> bool:
+    """Whether a settled table may be broadcast: its size in bytes is checked."""
     sizes = [F.octet_length(F.array_join(F.col(c), " ")) + 8 * F.size(c) if t.startswith("array") else F.octet_length(F.col(c).cast("string")) for c, t in df.dtypes]
     of_row = sum((F.coalesce(s, F.lit(0)) for s in sizes), F.lit(BYTES_A_ROW))
-    return F.broadcast(df) if df.agg(F.coalesce(F.sum(of_row), F.lit(0)).alias("n")).first()["n"] <= BROADCAST_BYTES else df
+    return df.agg(F.coalesce(F.sum(of_row), F.lit(0)).alias("n")).first()["n"] <= BROADCAST_BYTES
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if _fits(df) else df
 
 
 def _words(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -119,19 +125,25 @@ def postings(
 
     One row with a null term for each text has its number of words as position.
     """
-    terms = settle(ends.groupBy("term").agg(F.max("leads").alias("leads")))
-    tokens = _words(docs, doc_id, text).select(
-        *KEY, "words", F.posexplode(F.array_append("words", F.lit(None).cast("string"))).alias("position", "term")
-    )
-    first = F.greatest(F.col("position") - (width - 1), F.lit(0))
-    around = F.array_join(F.slice("words", first + 1, F.lit(2 * width - 1)), " ")
-    return settle(
-        tokens.join(_small(terms), "term", "left")
-        .where("term IS NULL OR leads IS NOT NULL")
-        .select(
-            *KEY, "term", "position", first.alias("around_from"), F.when(F.col("leads"), around).alias("around")
-        )
-    )
+    led = F.max(F.col("leads") & ~F.col("single"))  # of a phrase of one word the word itself is enough
+    terms = settle(ends.groupBy("term").agg(F.max("leads").alias("leads"), led.alias("wide")))
+    texts = _words(docs, doc_id, text)
+    marked = F.posexplode(F.array_append("words", F.lit(None).cast("string"))).alias("position", "term")
+    first = F.when(F.col("wide"), F.greatest(F.col("position") - (width - 1), F.lit(0))).otherwise(F.col("position"))
+    span = F.when(F.col("wide"), F.lit(2 * width - 1)).otherwise(1)
+    around = F.when(F.col("leads"), F.array_join(F.slice("words", first + 1, span), " ")).alias("around")
+    if _fits(terms):
+        found = texts.select(*KEY, "words", marked).join(F.broadcast(terms), "term", "left").where("term IS NULL OR leads IS NOT NULL")
+        return settle(found.select(*KEY, "term", "position", first.alias("around_from"), around))
+    bare = settle(texts.select(*KEY, marked).where("term IS NOT NULL").join(terms, "term"))
+    # The leading places of a text meet it once, by its key; repeated rows are one text here and below.
+    places = F.collect_set(F.struct("term", "position", "leads", "wide")).alias("places")
+    leading = bare.where("leads").groupBy(F.col("doc_id").alias("at_id"), F.col("text_hash").alias("at_hash")).agg(places)
+    same = F.col("doc_id").eqNullSafe(F.col("at_id")) & (F.col("text_hash") == F.col("at_hash"))
+    wide = texts.join(settle(leading), same).select(*KEY, "words", F.inline("places")).select(*KEY, "term", "position", first.alias("around_from"), around)
+    others = bare.where("NOT leads").select(*KEY, "term", "position", F.lit(None).cast("int").alias("around_from"), F.lit(None).cast("string").alias("around"))
+    counts = texts.select(*KEY, F.lit(None).cast("string").alias("term"), F.size("words").alias("position"), F.lit(None).cast("int").alias("around_from"), F.lit(None).cast("string").alias("around"))
+    return settle(wide.unionByName(others).unionByName(counts))
 
 
 def exact_matches(posted: DataFrame, found: DataFrame, ends: DataFrame) -> DataFrame:

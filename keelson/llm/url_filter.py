@@ -11,7 +11,7 @@ Precedence: the list of the least ``rank``; in it the longest rule (host and pat
 together), then the longer host, then ``block``, then the rule's text.
 
 Cases: a null URL or one without ``://`` has an empty host and path and no rule
-fits it; a rule listed twice in a list counts once, and of two actions for the same
+fits it; very long URLs are expanded at the lengths that rules have only; a rule listed twice in a list counts once, and of two actions for the same
 rule ``block`` wins; rows with equal URLs get equal verdicts, repeated rows stay
 repeated; extra columns of any other name pass through, clashing output names are
 refused; empty tables of URLs or rules give empty results or the default verdict.
@@ -58,10 +58,12 @@ def hash_rules(rules: DataFrame) -> DataFrame:
     )
 
 
-def rule_bytes(rules: DataFrame) -> int:
-    """How much memory a rule table takes, about."""
+def rule_bytes(rules: DataFrame) -> tuple[int, int]:
+    """How much memory a rule table takes, about, and its shapes: at most each number of labels with each length of path."""
     texts = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("rule", "host", "path")), F.lit(BYTES_A_RULE))
-    return rules.agg(F.coalesce(F.sum(texts), F.lit(0)).alias("n")).first()["n"]
+    deepest, longest = F.max(F.size(F.split("host", r"\."))), F.max(F.length("path"))
+    found = rules.agg(F.coalesce(F.sum(texts), F.lit(0)).alias("n"), F.coalesce(deepest, F.lit(0)).alias("d"), F.coalesce(longest, F.lit(0)).alias("l")).first()
+    return found["n"], BYTES_A_RULE * found["d"] + 8 * found["d"] * (found["l"] + 1)
 
 
 def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
@@ -74,16 +76,16 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     if clash:
         raise ValueError(f"columns {sorted(clash)} are there already")
     hashed = hash_rules(rules)
-    # Rows of this table differ in the number of labels only, so it's as small as hosts have labels.
+    # A row for each number of labels, with the lengths of paths: small however many rules there are, and never a key to shuffle by.
     shapes = hashed.groupBy("labels").agg(F.collect_set("path_length").alias("lengths"))
-    small = rule_bytes(rules) <= BROADCAST_BYTES
-    near = F.broadcast if small else lambda df: df
+    of_rules, of_shapes = rule_bytes(rules)
+    near = lambda df, size: F.broadcast(df) if size <= BROADCAST_BYTES else df
     split_urls = pages.withColumns({"host": host_of(F.col(f"`{url}`")), "path": path_of(F.col(f"`{url}`"))})
     expressions = (
         split_urls.select("host", "path")
         .distinct()
         .withColumn("labels", F.explode(F.sequence(F.lit(1), F.size(F.split("host", r"\.")))))
-        .join(near(shapes), "labels")
+        .join(near(shapes, min(of_shapes, of_rules)), "labels")
         .withColumn("length", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))))
         .select(
             "host", "path",
@@ -91,7 +93,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
         )
         .withColumn("short", F.left("digest", F.lit(SHORT)))
     )
-    met = expressions.join(near(hashed), F.col("short") == F.col("rule_short")).where("digest = rule_digest")
+    met = expressions.join(near(hashed, of_rules), F.col("short") == F.col("rule_short")).where("digest = rule_digest")
     order = F.struct(-F.col("rule_rank"), F.col("host_length") + F.col("path_length"), "host_length", "action", "rule")
     held = fresh("won", pages)
     won = met.groupBy("host", "path").agg(F.max_by(F.struct("rule", "rule_rank", "action"), order).alias(held))

@@ -188,3 +188,29 @@ def test_proximity(spark, slop):
         got.setdefault(r.doc_id, {})[r.item_id] = r.n
     assert got == {i: near for i, t in docs if (near := plain_near(t, items, counts, slop))}
     assert {"1", "5"} <= set(got[1]) and "3" in got[6] and (slop == 0 or "1" in got[2])
+
+
+def exchanges(df):
+    """The columns that each exchange of a plan moves, with its keys."""
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return [x for x in plan.split("\n\n") if re.search(r"^\(\d+\) Exchange", x.strip())]
+
+
+def test_rare_words_that_are_many_dont_shuffle_texts_by_word(spark, monkeypatch):
+    """Beyond the bound, what is joined by word is bare; texts move once, by their key."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
+    plans, settle = [], decontaminate.settle
+    monkeypatch.setattr(decontaminate, "settle", lambda df: plans.extend(exchanges(df)) or settle(df))
+    frame = spark.createDataFrame([(1, "one two three four"), (2, "two three")], "doc_id long, text string")
+    decontaminate.judge(frame, spark.createDataFrame([(1, "two three")], "item_id long, text string")).collect()
+    by_term = [x for x in plans if re.search(r"hashpartitioning\(term", x)]
+    assert by_term and not [x for x in by_term if re.search(r"\bwords#", x)]
+
+
+def test_many_rules_dont_shuffle_by_labels(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", 1000)
+    rules = spark.createDataFrame([(f"h{k}.org/", f"h{k}.org", "/", "block") for k in range(50)], "rule string, host string, path string, action string")
+    pages = spark.createDataFrame([(1, "http://a.h3.org/x"), (2, "http://h9.com/")], "page_id long, url string")
+    judged = url_filter.judge(pages, rules)
+    assert not [x for x in exchanges(judged) if "hashpartitioning(labels" in x] and [x for x in exchanges(judged) if "hashpartitioning(short" in x]
+    assert sorted((r.page_id, r.verdict) for r in judged.collect()) == [(1, "block"), (2, "allow")]

@@ -59,6 +59,8 @@ def test_whole_job_is_the_plain_one(spark, seed):
 def test_hot_tokens_are_split_and_runs_straddle_buckets(spark, monkeypatch, bucket_rows):
     """Buckets of a few rows, and chunks of a few documents, so that runs are in many chunks."""
     monkeypatch.setattr(S, "CHUNK_BYTES", 400)
+    monkeypatch.setattr(S, "LEAST_CHUNK_BYTES", 100)
+    monkeypatch.setattr(S, "LEAST_BUCKET_ROWS", 5)
     rows, plans, plan_for = corpus(9), [], S.plan_for
     monkeypatch.setattr(S, "plan_for", lambda *args: plans.append(plan_for(*args)) or plans[0])
     assert got(spark, rows, bucket_rows=bucket_rows) == plain(rows)
