@@ -34,7 +34,7 @@ ASSET = r"\.(?:css|js|mjs|png|jpe?g|gif|svg|ico|webp|woff2?|ttf|map|zip|gz|tgz|m
 NEGATIVE = (
     r"pricing|login|log-?in|sign-?(?:in|up)|careers?|jobs|blog|press|privacy|terms|cookie|status\.|support/|contact"
 )
-#: Sites that never document the API that is looked for.
+#: Sites that never document the API that is looked for.
 OFF_SITE = (
     r"(?:^|\.)(?:linkedin\.com|twitter\.com|x\.com|facebook\.com|fb\.com|instagram\.com|youtube\.com|youtu\.be|tiktok\.com|"
     r"reddit\.com|discord\.com|discord\.gg|t\.me|pinterest\.com|medium\.com|threads\.net|snapchat\.com|apps\.apple\.com|"

@@ -21,7 +21,8 @@ DOCUMENTATION_METHODS = (
     "swagger_config_url", "swagger_config_url_entry", "embedded_spec", "script_literal", "documentation_navigation", "llm_suggestion",
 )
 NO_CONTRACT = ("empty_document", "html_document", "not_json_or_yaml", "not_an_object", "not_openapi")
-VERSION_SEGMENT = r"(?i)^(?:v[0-9]+(?:\.[0-9]+)?|[0-9]{4}-[0-9]{2}-[0-9]{2})$"
+#: The pattern of a version as a path segment.
+VERSION_SEGMENT = r"v\d+(?:\.\d+)?|\d{4}-\d{2}-\d{2}"
 
 
 def origin(url: Column) -> Column:
@@ -156,8 +157,8 @@ def guessed_miss(method: Column, stage: Column, code: Column) -> Column:
 def looks_like_api_path(path: Column, bases: Column) -> Column:
     """A path below a server's base, or with a version segment and another one."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    versions = F.exists(segments, lambda s: s.rlike(VERSION_SEGMENT))
-    others = F.exists(segments, lambda s: ~s.rlike(VERSION_SEGMENT))
+    versions = F.exists(segments, lambda s: s.rlike(f"^(?i)(?:{VERSION_SEGMENT})$"))
+    others = F.exists(segments, lambda s: ~s.rlike(f"^(?i)(?:{VERSION_SEGMENT})$"))
     return F.exists(bases, lambda b: (b != "") & F.startswith(path, F.concat(b, F.lit("/")))) | (versions & others)
 
 

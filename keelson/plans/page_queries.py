@@ -275,3 +275,43 @@ def p18_page_anatomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p16_viewer_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What viewers of contracts are configured to show, and addresses in scripts that look like contracts."""
     return pages.viewer_references(made_pages(spark, sf_dir)).select("page_id", "mechanism", "reference")
+
+
+# Scripts whose literals come from each page's own address and title.
+_SCRIPTED = """concat('<!-- <script>SwaggerUI({ url: "/commented/', page_id, '.json" })</script> -->',
+  '<script>SwaggerUIBundle({ url: "', url, '/deep.json", plugins: { a: { b: { c: ["}", page_', page_id, '] } } } })</script>',
+  '<script>SwaggerUI({ // don\\'t stop here
+    "url": \\'', url, '/quoted.json\\', t: `', page_id, ' {` })</script>',
+  '<script>SwaggerUI({ spec: {"openapi": "3.0.', page_id % 4, '", "info": {"title": "', host, '"}}, configUrl: "', url, '/cfg" }); SwaggerUI({ url: `${', host_name, '}/x.json` })</script>',
+  '<script>SwaggerUI({ url: "', url, '/" + version, dom_id: "#', page_id, '" }); load("/files/', host_name, '-openapi.yaml", "//cdn/openapi.json", "/', host_name, '.css")</script>')"""
+_SCRIPTED_SQL = """SELECT page_id, url, regexp_extract(url, '://([^/?#]*)', 1) AS host, replace(regexp_extract(url, '://([^/?#]*)', 1), '.', '_') AS host_name FROM pages"""
+
+
+@query(
+    "p16_script_literals",
+    f"""WITH p AS ({_SCRIPTED_SQL})
+    SELECT page_id, 'swagger_ui_config' AS mechanism, url || '/deep.json' AS reference FROM p UNION ALL SELECT page_id, 'swagger_ui_config', url || '/quoted.json' FROM p
+    UNION ALL SELECT page_id, 'embedded_spec', '{{"openapi": "3.0.' || page_id % 4 || '", "info": {{"title": "' || host || '"}}}}' FROM p UNION ALL SELECT page_id, 'config_url', url || '/cfg' FROM p
+    UNION ALL SELECT page_id, 'configuration_not_literal', NULL FROM p UNION ALL SELECT page_id, 'url_not_literal', NULL FROM p
+    UNION ALL SELECT page_id, 'script_literal', '/files/' || host_name || '-openapi.yaml' FROM p""",
+)
+def p16_script_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested braces, comments with apostrophes, templates, embedded contracts and dynamic values; nothing in HTML comments."""
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    scripted = table(spark, sf_dir, "pages").withColumns({"host": host, "host_name": F.replace(host, F.lit("."), F.lit("_"))})
+    found = pages.viewer_references(scripted.select("page_id", "url", F.expr(_SCRIPTED).alias("html")))
+    return found.select("page_id", "mechanism", "reference")
+
+
+@query(
+    "p18_configurations_served",
+    """SELECT page_id, 'swagger_config_url_entry' AS mechanism, url || '/v' || k AS reference FROM pages, (VALUES (1), (2)) v(k) UNION ALL SELECT page_id, 'urls_entry_invalid', NULL FROM pages
+       UNION ALL SELECT page_id, 'embedded_spec', '{"openapi":"3.1.' || page_id % 5 || '"}' FROM pages WHERE url LIKE 'https:%' UNION ALL SELECT page_id, 'spec_not_an_object', NULL FROM pages WHERE url NOT LIKE 'https:%'""",
+)
+def p18_configurations_served(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON that each page's configUrl would serve: entries of its address, one without, and a contract inside or none."""
+    entry = lambda k: F.named_struct(F.lit("url"), F.concat("url", F.lit(f"/v{k}")), F.lit("name"), F.col("page_id").cast("string"))
+    spec = F.when(F.startswith("url", F.lit("https:")), F.concat(F.lit('{"openapi":"3.1.'), F.col("page_id") % 5, F.lit('"}'))).otherwise(F.to_json(F.array("url")))
+    listed = F.array(entry(1), entry(2), F.named_struct(F.lit("url"), F.lit(None).cast("string"), F.lit("name"), F.col("url")), entry(1))
+    content = F.concat(F.lit('{"urls": '), F.to_json(listed), F.lit(', "spec": '), spec, F.lit("}"))
+    return pages.config_references(table(spark, sf_dir, "pages").select("page_id", content.alias("content"))).select("page_id", "mechanism", "reference")
