@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.functions.text import utc_text
-from keelson.operators import history
+from keelson.operators import folding, history
 from keelson.plans.registry import query, table
 
 #: Events as checks: the user is the source, some events fail, the value's whole part is the content.
@@ -246,3 +246,32 @@ def p13_provenance_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("page_id") % 2 == 0, "provider").otherwise("directory_copy")
     evidence = F.array(F.struct(F.lit("provenance").alias("criterion"), F.lit("match").alias("outcome")))
     return table(spark, sf_dir, "pages").select("page_id", history.provenance_json(F.lit("directory"), F.col("url"), kind, evidence).alias("provenance"))
+
+
+#: Events as calls of runs: prompts as long as the event's properties, costs as its value.
+_PRICED = """
+k AS (SELECT event_id AS seq, user_id AS run_id, strlen(props) * (1 + floor(value)::BIGINT % 40) AS prompt_chars, CASE WHEN event_type <> 'error' THEN floor(value * 100)::BIGINT END AS micro_usd,
+             (strlen(props) * (1 + floor(value)::BIGINT % 40) + 3) // 4 * 20 + 4000 AS worst_micro_usd, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
+"""
+_DECIDE = """CASE WHEN prompt_chars > 700 THEN 'prompt_too_large' WHEN calls >= 12 THEN 'call_limit' WHEN spent >= 60000 THEN 'budget_exhausted'
+             WHEN spent + worst_micro_usd > 60000 THEN 'budget_would_be_exceeded' ELSE 'allowed' END"""
+
+
+@query(
+    "t4_decisions_of_runs",
+    f"""WITH RECURSIVE {_PRICED}, f AS (
+        SELECT run_id, n, seq, spent AS spent_before, d AS decision, calls + (d = 'allowed')::BIGINT AS calls, CASE WHEN d = 'allowed' THEN spent + coalesce(micro_usd, worst_micro_usd) ELSE spent END AS spent
+        FROM (SELECT *, {_DECIDE} AS d FROM (SELECT *, 0::BIGINT AS calls, 0::BIGINT AS spent FROM k WHERE n = 1))
+        UNION ALL
+        SELECT run_id, n, seq, spent, d, calls + (d = 'allowed')::BIGINT, CASE WHEN d = 'allowed' THEN spent + coalesce(micro_usd, worst_micro_usd) ELSE spent END
+        FROM (SELECT *, {_DECIDE} AS d FROM (SELECT k.*, f.calls, f.spent FROM f JOIN k ON k.run_id = f.run_id AND k.n = f.n + 1)))
+        SELECT seq, run_id, spent_before, decision FROM f""",
+)
+def t4_decisions_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every call of every run (a user's events) decided in its order: a refused one adds nothing to what later ones find spent."""
+    chars = F.octet_length("props") * (F.floor("value") % 40 + 1)
+    priced = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"), F.col("user_id").alias("run_id"), "ts", chars.cast("long").alias("prompt_chars"),
+        F.when(F.col("event_type") != "error", F.floor(F.col("value") * 100)).cast("long").alias("micro_usd"), (F.floor((chars + 3) / 4) * 20 + 4000).cast("long").alias("worst_micro_usd"),
+    )
+    return folding.authorised(priced, budget=60_000, most_calls=12, most_chars=700).select("seq", "run_id", "spent_before", "decision")

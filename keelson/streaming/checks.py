@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from keelson.operators.staging import near
+
 
 def read_log(spark: SparkSession, folder: str, schema: StructType, files_a_batch: int = 100) -> DataFrame:
     """A stream of the Parquet files that appear in a folder."""
@@ -33,7 +35,8 @@ def append_to(folder: str):
 def published(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of all published batches."""
     rows, markers = spark.read.parquet(f"{folder}/rows"), spark.read.parquet(f"{folder}/markers")
-    return rows.join(F.broadcast(markers.select(F.col("number").alias("batch")).distinct()), "batch", "left_semi").drop("batch")
+    markers = markers.select(F.col("number").alias("batch")).distinct()
+    return rows.join(near(markers, 64 * markers.count()), "batch", "left_semi").drop("batch")
 
 
 def counts_in_windows(events: DataFrame, at: str, key: str, width: str, lateness: str) -> DataFrame:
