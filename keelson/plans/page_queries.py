@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.functions import text
-from keelson.operators import discovery, links, matching, pages, search
+from keelson.operators import discovery, links, matching, pages, search, targets
 from keelson.plans.registry import query, table
 
 
@@ -172,7 +172,7 @@ def x10_decoded_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
        CASE WHEN contains(url, '#') THEN 'fragment' END AS problem FROM pages""",
 )
 def p3_normal_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    target = discovery.normal_target(F.col("url"))
+    target = targets.normal_target(F.col("url"))
     found = table(spark, sf_dir, "pages").select("page_id", target.alias("t"))
     return found.select("page_id", "t.scheme", "t.host", "t.path", "t.problem")
 
@@ -315,3 +315,76 @@ def p18_configurations_served(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.array(entry(1), entry(2), F.named_struct(F.lit("url"), F.lit(None).cast("string"), F.lit("name"), F.col("url")), entry(1))
     content = F.concat(F.lit('{"urls": '), F.to_json(listed), F.lit(', "spec": '), spec, F.lit("}"))
     return pages.config_references(table(spark, sf_dir, "pages").select("page_id", content.alias("content"))).select("page_id", "mechanism", "reference")
+
+
+def _refused(made: str, problem: str) -> tuple[str, ...]:
+    return (made, "NULL", "NULL", "NULL", "NULL", f"'{problem}'")
+
+
+#: Forms of a target, made of each page's own host and number: how it is made, then scheme, host, port, path and problem, all in SQL.
+_FORMS = (
+    ("'  ' || host || ' '", "'https'", "host", "NULL", "'/'", "NULL"), ("host || ':' || port", "'https'", "host", "port", "'/'", "NULL"),
+    ("'HTTP://' || upper(host) || ':' || port || '/p?q=1'", "'http'", "host", "port", "'/p'", "NULL"),
+    ("'http://[2001:DB8:0:0:0:0:0:' || printf('%X', port) || ']/a'", "'http'", "'2001:db8::' || printf('%x', port)", "NULL", "'/a'", "NULL"),
+    ("'http://[::ffff:10.0.0.' || port % 256 || ']:81'", "'http'", "'::ffff:10.0.0.' || port % 256", "81", "'/'", "NULL"),
+    ("'http://bücher.' || host", "'http'", "'xn--bcher-kva.' || host", "NULL", "'/'", "NULL"), ("'10.1.2.' || port % 256", "'https'", "'10.1.2.' || port % 256", "NULL", "'/'", "NULL"),
+    _refused("host || '/x'", "no_scheme"), _refused("'http://' || host || ':' || (port + 65535)", "port"), _refused("'http://' || host || ':'", "port"), _refused("'http://' || host || ':0'", "port"),
+    _refused("'ftp://' || host", "scheme"), _refused("'http://u@' || host", "credentials"), _refused("'http://' || host || '/#f'", "fragment"), _refused("'http://a b.' || host", "control_characters"),
+    _refused("'http://-a.' || host", "host"), _refused("'http://[1:2:3:4:5:6:' || port % 7 || ']'", "host"),
+)
+_FORM_HOSTS = "SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, CAST(1 + page_id % 65000 AS INT) AS port FROM pages"
+
+
+@query(
+    "p3_targets_of_all_forms",
+    f"""SELECT page_id, target, scheme, p2.host AS host, p2.port::INT AS port, path, problem FROM ({_FORM_HOSTS}) p, (VALUES {", ".join(f"({chr(44).join(form)})" for form in _FORMS)}) p2(target, scheme, host, port, path, problem)""",
+)
+def p3_targets_of_all_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bare hosts, ports, addresses and names in other scripts, made of each page's own host and number, and what is refused."""
+    hosts = table(spark, sf_dir, "pages").selectExpr("page_id", "lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host", "CAST(1 + page_id % 65000 AS INT) AS port")
+    asked = hosts.select("page_id", F.explode(F.array(*(F.expr(form[0]) for form in _FORMS))).alias("target"))
+    found = asked.select("page_id", "target", targets.normal_target(F.col("target")).alias("t"))
+    fine = F.col("t.problem").isNull()
+    return found.select("page_id", "target", *(F.when(fine, F.col(f"t.{c}")).alias(c) for c in ("scheme", "host", "port", "path")), "t.problem")
+
+
+#: Rules as a public suffix list has them; a longer list is passed where one is at hand.
+SUFFIX_RULES = ("com", "org", "net", "io", "uk", "co.uk", "*.ck", "!www.ck", "jp", "*.kobe.jp", "!city.kobe.jp", "github.io", "*.compute.example.com")
+_TENANTS = """SELECT DISTINCT host FROM (SELECT unnest([h, 'a.b.' || h, n || '.co.uk', 'x.' || n || '.co.uk', n || '.ck', 'y.' || n || '.ck', 'www.ck', 'z' || page_id % 7 || '.www.ck', n || '.kobe.jp', 't.' || n || '.kobe.jp',
+   'p' || page_id % 5 || '.city.kobe.jp', n || '.github.io', n || '.unlisted', 'q.' || n || '.unlisted', 'r.' || n || '.compute.example.com', '10.0.0.' || page_id % 9]) AS host
+   FROM (SELECT page_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS h, split_part(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '.', 1) || page_id % 11 AS n FROM pages))"""
+_RULES_SQL = rf"""
+rules AS (SELECT regexp_replace(rule, '^(!|\*\.)', '') AS key, rule LIKE '!%' AS excepts, rule LIKE '*.%' AS wild FROM (VALUES {", ".join(f"('{r}')" for r in SUFFIX_RULES)}) v(rule)),
+t AS ({_TENANTS}), l AS (SELECT host, string_split(host, '.') AS ls FROM t),
+m AS (SELECT host, ls, len(string_split(key, '.')) + CASE WHEN wild THEN 1 WHEN excepts THEN -1 ELSE 0 END AS size, excepts FROM l JOIN rules ON host = key OR ends_with(host, '.' || key)),
+d AS (SELECT l.host, l.ls, coalesce(max(size) FILTER (excepts), max(size) FILTER (NOT excepts AND size <= len(l.ls)), 1) AS n FROM l LEFT JOIN m USING (host) GROUP BY ALL),
+s AS (SELECT host, CASE WHEN NOT regexp_matches(host, '^[0-9.]+$') THEN array_to_string(ls[-n:], '.') END AS suffix, CASE WHEN NOT regexp_matches(host, '^[0-9.]+$') AND len(ls) > n THEN array_to_string(ls[-n - 1:], '.') END AS domain FROM d)"""
+
+
+def tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts under shared and own domains, made of the pages' hosts."""
+    h = "lower(regexp_extract(url, '://([^/?#:]*)', 1))"
+    made = table(spark, sf_dir, "pages").selectExpr("page_id", f"{h} AS h", f"split_part({h}, '.', 1) || page_id % 11 AS n")
+    listed = _TENANTS[_TENANTS.index("unnest([") + 8 : _TENANTS.index("]) AS host")]
+    return made.select(F.explode(F.expr(f"array({listed})")).alias("host")).distinct()
+
+
+@query("f12_registrable_domains", f"WITH {_RULES_SQL} SELECT host, suffix, domain FROM s")
+def f12_registrable_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What can be registered of every host, by rules with wildcards and exceptions."""
+    rules = targets.suffix_rules(spark.createDataFrame([(r,) for r in SUFFIX_RULES], "rule string"))
+    return targets.registrable_domains(tenants(spark, sf_dir), rules)
+
+
+@query(
+    "f1_relations_by_rules",
+    f"""WITH {_RULES_SQL}, p AS (SELECT host AS target, CASE WHEN len(string_split(host, '.')) > 2 THEN array_to_string(string_split(host, '.')[2:], '.') ELSE host END AS server FROM t)
+        SELECT target, server, CASE WHEN target = server THEN 'same' WHEN ends_with(target, '.' || server) AND NOT regexp_matches(target, '^[0-9.]+$') AND (SELECT domain IS NOT NULL FROM
+        (SELECT CASE WHEN len(string_split(server, '.')) > coalesce(max(size) FILTER (excepts), max(size) FILTER (NOT excepts AND size <= len(string_split(server, '.'))), 1) THEN server END AS domain
+         FROM (SELECT len(string_split(key, '.')) + CASE WHEN wild THEN 1 WHEN excepts THEN -1 ELSE 0 END AS size, excepts FROM rules WHERE server = key OR ends_with(server, '.' || key)))) THEN 'target_under_server' END AS relation FROM p""",
+)
+def f1_relations_by_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each host against the one above it: tenants of a shared suffix aren't related through it."""
+    above = F.when(F.size(F.split("host", r"\.")) > 2, F.regexp_replace("host", r"^[^.]*\.", "")).otherwise(F.col("host"))
+    rules = targets.suffix_rules(spark.createDataFrame([(r,) for r in SUFFIX_RULES], "rule string"))
+    return targets.host_relations(tenants(spark, sf_dir).select(F.col("host").alias("target"), above.alias("server")), rules)

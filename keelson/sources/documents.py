@@ -51,8 +51,8 @@ SETS = frozenset(("enum", "required"))
 CORE_SCALARS = (
     ("null", r"~|null|Null|NULL|", ["~", "n", "N", ""]),
     ("bool", r"true|True|TRUE|false|False|FALSE", list("tTfF")),
-    ("int", r"[-+]?[0-9]+|0o[0-7]+|0x[0-9a-fA-F]+", list("-+0123456789")),
-    ("float", r"[-+]?(?:\.[0-9]+|[0-9]+(?:\.[0-9]*)?)(?:[eE][-+]?[0-9]+)?|[-+]?\.(?:inf|Inf|INF)|\.(?:nan|NaN|NAN)", list("-+.0123456789")),
+    ("int", r"[-+]?(?:0|[1-9][0-9]*)|0o[0-7]+|0x[0-9a-fA-F]+", list("-+0123456789")),
+    ("float", r"[-+]?(?:\.[0-9]+|[0-9]+\.[0-9]*|[0-9]+(?=[eE]))(?:[eE][-+]?[0-9]+)?|[-+]?\.(?:inf|Inf|INF)|\.(?:nan|NaN|NAN)", list("-+.0123456789")),
 )
 PIECE = 20_000
 COLUMNS = (
