@@ -11,7 +11,7 @@ from keelson.functions import text
 from keelson.operators import discovery, structure
 from keelson.operators.staging import staging_folder
 from keelson.plans.registry import query, table
-from keelson.sources import records
+from keelson.sources import bundles, records
 
 _HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 
@@ -183,3 +183,87 @@ def s5a_rejected_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id") % 5
     payload = F.when(n == 0, F.col("props")).when(n == 1, '{"a":1,"a":2}').when(n == 2, F.concat("props", F.lit("}"))).when(n == 3, "17").otherwise('{"[]":1}')
     return structure.with_structure(table(spark, sf_dir, "events").select("event_id", payload.alias("json"))).select("event_id", "rejection")
+
+
+#: Packages of suppliers: a root in JSON or YAML with or without servers, keys in two orders, and two referenced documents.
+_PACKAGES = """
+s AS (SELECT s_suppkey AS package, s_nationkey AS n, s_suppkey % 3 = 0 AS yaml, s_suppkey % 2 = 0 AS served, '"title":"nation ' || s_nationkey || '","version":"1"' AS info FROM supplier),
+r AS (SELECT package, n, served, '{"info":{' || info || '},"openapi":"3.0.3","paths":{}' || CASE WHEN served THEN ',"servers":[{"url":"/v' || n % 4 || '"}]' ELSE '' END || '}' AS whole, '{"info":{' || info || '},"openapi":"3.0.3","paths":{}}' AS bare FROM s),
+x AS (SELECT *, CASE WHEN n % 2 = 0 THEN [sha256('{"n":' || n || '}'), sha256('["' || n || '",1.5]')] ELSE [sha256('{"n":' || n || '}'), sha256('{"n":' || n || '}')] END AS rest FROM r)
+"""
+
+
+def packages_of_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """package, path, is_root and content; packages of a nation differ in layout and in having servers."""
+    n, key = F.col("s_nationkey").cast("string"), F.col("s_suppkey")
+    yaml = F.concat(F.lit("openapi: 3.0.3\ninfo:\n  version: '1'\n  title: nation "), n, F.when(key % 2 == 0, F.concat(F.lit("\nservers:\n- url: /v"), F.col("s_nationkey") % 4)).otherwise(""), F.lit("\npaths: {}\n"))
+    served = F.when(key % 2 == 0, F.concat(F.lit('"servers": [ {"url": "/v'), F.col("s_nationkey") % 4, F.lit('"} ], '))).otherwise("")
+    plain = F.concat(F.lit('{"openapi": "3.0.3", '), served, F.lit('"info": {"version": "1",\t"title": "nation '), n, F.lit('"}, "paths": {}}'))
+    shared, other = F.concat(F.lit('{"n" : '), n, F.lit("}")), F.concat(F.lit('[ "'), n, F.lit('", 1.50]'))
+    member = lambda path, root, content: F.struct(F.lit(path).alias("path"), F.lit(root).alias("is_root"), content.alias("content"))
+    second = F.when(F.col("s_nationkey") % 2 == 0, other).otherwise(shared)
+    listed = F.array(member("api/root", True, F.when(key % 3 == 0, yaml).otherwise(plain)), member("refs/a.json", False, shared), member("refs/b.json", False, second))
+    return table(spark, sf_dir, "supplier").select(key.alias("package"), F.explode(listed).alias("m")).select("package", "m.*")
+
+
+@query(
+    "a9_fingerprints_of_contracts",
+    f"""WITH {_PACKAGES} SELECT package, sha256(unhex(sha256(whole) || array_to_string(list_sort(rest), ''))) AS fingerprint,
+        sha256(unhex(sha256(bare) || array_to_string(list_sort(rest), ''))) AS loose_fingerprint, served AS has_servers FROM x""",
+)
+def a9_fingerprints_of_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identity of contracts with and without servers, however they are written."""
+    return bundles.package_fingerprints(packages_of_suppliers(spark, sf_dir).drop("path"))
+
+
+@query(
+    "x12_canonical_forms",
+    r"""SELECT c_custkey, '{"a":["é' || c_custkey || '",' || c_nationkey || ',true,null],"z":{}}' AS normalized, '{"a":["\u00e9' || c_custkey || '",' || c_nationkey || ',true,null],"z":{}}' AS identity,
+       '{"a": ["é' || c_custkey || '", ' || c_nationkey || ', true, null], "z": {}}' AS record FROM customer""",
+)
+def x12_canonical_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical forms of one value for each customer: compact, in ASCII, and with spaces."""
+    content = F.concat(F.lit('{"z": {}, "a": ["é'), "c_custkey", F.lit('",'), "c_nationkey", F.lit(", true, null]}"))
+    found = table(spark, sf_dir, "customer").select("c_custkey", bundles.canonical_forms(content).alias("f"))
+    return found.select("c_custkey", "f.normalized", "f.identity", "f.record")
+
+
+_NEW_LINE = "' || chr(10) || '"
+_YAML = f"'openapi: 3.0.3{_NEW_LINE}info:{_NEW_LINE}  version: ''1''{_NEW_LINE}  title: nation ' || n || CASE WHEN served THEN '{_NEW_LINE}servers:{_NEW_LINE}- url: /v' || n % 4 ELSE '' END || '{_NEW_LINE}paths: {{}}{_NEW_LINE}'"
+_PLAIN = """'{"openapi": "3.0.3", ' || CASE WHEN served THEN '"servers": [ {"url": "/v' || n % 4 || '"} ], ' ELSE '' END || '"info": {"version": "1",' || chr(9) || '"title": "nation ' || n || '"}, "paths": {}}'"""
+_MANIFEST = """'{"documents":[' || array_to_string(list_transform([['api/root', root], ['refs/a.json', a], ['refs/b.json', b]], lambda d: '{"path":"' || d[1] || '","sha256":"' || sha256(d[2]) || '","size":' || strlen(d[2]) || '}'), ',')
+  || '],"entry_point":"api/root","format":1,"normalization_version":"1","normalized":{"sha256":"' || sha256(n::VARCHAR) || '","size":' || strlen(n::VARCHAR) || '}}'"""
+_BUNDLES = f"""{_PACKAGES}, o AS (SELECT package, n, CASE WHEN yaml THEN {_YAML} ELSE {_PLAIN} END AS root, '{{"n" : ' || n || '}}' AS a, CASE WHEN n % 2 = 0 THEN '[ "' || n || '", 1.50]' ELSE '{{"n" : ' || n || '}}' END AS b FROM s),
+  m AS (SELECT package, n, sha256({_MANIFEST}) AS bundle FROM o)"""
+
+
+@query(
+    "s8_bundles_read_back",
+    f"""WITH {_BUNDLES} SELECT DISTINCT bundle, CASE n % 6 WHEN 1 THEN 'corrupted_file' WHEN 2 THEN 'missing_file' WHEN 3 THEN 'corrupted_manifest' WHEN 4 THEN 'missing_manifest' WHEN 5 THEN 'corrupted_file' END AS problem FROM m""",
+)
+def s8_bundles_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bundles of all packages, written once each and read back; those of five nations in six come back damaged, each in its way."""
+    members = packages_of_suppliers(spark, sf_dir)
+    nation = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("package"), F.col("s_nationkey").alias("n"))
+    place = folder(spark, "bundles")
+    stored = bundles.put(members, nation.select("package", F.col("n").cast("string").alias("normalized"), F.lit("1").alias("version")), place)
+    of_bundle = stored.join(nation, "package").select(F.col("fingerprint").alias("bundle"), "n").distinct()
+    files, way = bundles.files_in(spark, place).join(of_bundle, "bundle"), F.col("n") % 6
+    touched = (way == 1) & (F.col("name") == "original/refs/a.json") | (way == 3) & (F.col("name") == "manifest.json") | (way == 5) & (F.col("name") == "normalized")
+    lost = (way == 2) & (F.col("name") == "original/api/root") | (way == 4) & (F.col("name") == "manifest.json")
+    worn = F.when(touched, F.concat("content", F.lit(" ").cast("binary"))).otherwise(F.col("content"))
+    problems = bundles.verified(files.where(~lost).select("bundle", "name", worn.alias("content")))[1]
+    return of_bundle.select("bundle").distinct().join(problems, "bundle", "left")
+
+
+@query(
+    "k2_bundles_put_once",
+    f"""WITH {_BUNDLES}, f AS (SELECT DISTINCT bundle FROM m WHERE package % 2 = 0) SELECT package, bundle AS fingerprint, bundle NOT IN (SELECT bundle FROM f) AS new FROM m""",
+)
+def k2_bundles_put_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages of suppliers with even numbers are put first, then all: only what isn't there is written."""
+    members = packages_of_suppliers(spark, sf_dir)
+    nation = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("package"), F.col("s_nationkey").cast("string").alias("normalized"), F.lit("1").alias("version"))
+    place = folder(spark, "bundles")
+    bundles.put(members.where("package % 2 = 0"), nation.where("package % 2 = 0"), place).count()
+    return bundles.put(members, nation, place).select("package", "fingerprint", "new")
