@@ -56,11 +56,21 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def attributes(inside: Column) -> Column:
+    """struct(names, values) of a start tag, names in lower case and values as they are written; found once for all that is asked of it."""
+    found = lambda group: F.regexp_extract_all(inside, F.lit(ATTRIBUTE), F.lit(group))
+    return F.struct(F.transform(found(1), lambda n: F.lower(n)).alias("names"), found(2).alias("values"))
+
+
+def value_of(held: Column, name: str) -> Column:
+    """The value of the first attribute of that name among ``attributes``, without quotes, or null if there is none."""
+    at = F.array_position(held["names"], name)
+    return F.when(at > 0, F.regexp_replace(F.get(held["values"], (at - 1).cast("int")), r"""(?s)^(["'])(.*)\1$""", "$2"))
+
+
 def attribute(inside: Column, name: str) -> Column:
     """The value of the first attribute of that name in a start tag, or null if there is none."""
-    at = F.array_position(F.transform(F.regexp_extract_all(inside, F.lit(ATTRIBUTE), F.lit(1)), lambda n: F.lower(n)), name)
-    value = lambda i: F.get(F.regexp_extract_all(inside, F.lit(ATTRIBUTE), F.lit(2)), (i - 1).cast("int"))
-    return bound(at, lambda i: F.when(i > 0, F.regexp_replace(value(i), r"""(?s)^(["'])(.*)\1$""", "$2")))
+    return bound(attributes(inside), lambda held: value_of(held, name))
 
 
 def absolute(base: Column, href: Column) -> Column:
@@ -104,12 +114,12 @@ def links_of(pages: DataFrame) -> DataFrame:
 
     def link(anchor: Column) -> Column:
         text = F.regexp_replace(F.regexp_extract(anchor, ANCHOR, 2), TAG, "")
-        filled = lambda inside, name: F.nullif(attribute(inside, name), F.lit(""))
-        label = lambda inside: F.concat_ws(" ", F.coalesce(filled(inside, "title"), filled(inside, "aria-label")), text)
-        whole = lambda inside: F.struct(
-            attribute(inside, "href").alias("href"), F.trim(F.regexp_replace(label(inside), r"\s+", " ")).alias("label")
+        filled = lambda held, name: F.nullif(value_of(held, name), F.lit(""))
+        label = lambda held: F.concat_ws(" ", F.coalesce(filled(held, "title"), filled(held, "aria-label")), text)
+        whole = lambda held: F.struct(
+            value_of(held, "href").alias("href"), F.trim(F.regexp_replace(label(held), r"\s+", " ")).alias("label")
         )
-        return bound(F.regexp_extract(anchor, ANCHOR, 1), whole)
+        return bound(attributes(F.regexp_extract(anchor, ANCHOR, 1)), whole)
 
     found = F.filter(F.transform(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0)), link), lambda x: x["href"].isNotNull())
     page_url = F.coalesce("page_url", F.lit(""))

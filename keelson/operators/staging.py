@@ -34,7 +34,15 @@ def near(df: DataFrame, size: int) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+#: Bytes of documents that one core should get at least before more parts are worth a shuffle.
+SPREAD_BYTES = 8 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` for work that costs far more than moving a row: a table of fewer parts than the cluster has cores is dealt to all of them."""
+    """``df`` for work that costs far more than moving a row: if it is small, it is dealt to all cores.
+
+    The size is the planner's estimate, so nothing runs to find it.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.functions import text
-from keelson.operators import discovery, links, matching, pages, search, targets
+from keelson.operators import discovery, links, matching, pages, reduction, search, targets
 from keelson.plans.registry import query, table
 
 
@@ -388,3 +388,25 @@ def f1_relations_by_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     above = F.when(F.size(F.split("host", r"\.")) > 2, F.regexp_replace("host", r"^[^.]*\.", "")).otherwise(F.col("host"))
     rules = targets.suffix_rules(spark.createDataFrame([(r,) for r in SUFFIX_RULES], "rule string"))
     return targets.host_relations(tenants(spark, sf_dir).select(F.col("host").alias("target"), above.alias("server")), rules)
+
+
+_SHOWN = """concat('<base href="https://docs.example/b', page_id % 4, '/"><title>Page ', page_id, ' of ', host, '</title><h1>', host, '</h1><h2>API "', page_id, '"</h2><!-- <a href="/swagger">no</a> --><a href="/openapi/', page_id, '.json">Spec ', page_id,
+  '</a><a href="#openapi">here</a><a href="guide/', page_id % 5, '" title="The">Guide</a><a href="guide/', page_id % 5, '" title="The">Guide</a><link rel="service-desc" href="desc-', page_id, '"><link rel="icon" href="swagger.ico"><meta name="about" content="swagger of ', host,
+  '"><redoc spec-url="/v', page_id % 3, '/s.yaml"></redoc><script>ui(', page_id, ', "redoc")</script><p>', host, '</p>')"""
+
+
+@query(
+    "p20_reduced_pages",
+    """WITH p AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages),
+       i AS (SELECT page_id, unnest([1, 2, 3, 4, 5, 6, 7, 8, 9]) AS ordinal, unnest(['title', 'heading', 'heading', 'link', 'link', 'tag', 'tag', 'attribute', 'script']) AS kind,
+         unnest(['TITLE "Page ' || page_id || ' of ' || host || '"', 'HEADING "' || host || '"', 'HEADING "API ''' || page_id || '''"', 'LINK https://docs.example/openapi/' || page_id || '.json "Spec ' || page_id || '"',
+           'LINK https://docs.example/b' || page_id % 4 || '/guide/' || page_id % 5 || ' "The Guide"', 'TAG link rel="service-desc" https://docs.example/b' || page_id % 4 || '/desc-' || page_id, 'TAG meta about swagger of ' || host,
+           'ATTRIBUTE <redoc spec-url> https://docs.example/v' || page_id % 3 || '/s.yaml', 'SCRIPT ui(' || page_id || ', ''redoc'')']) AS line,
+         unnest([NULL, NULL, NULL, 'L1', 'L2', 'L3', NULL, 'L4', NULL]) AS shown_id FROM p)
+       SELECT page_id, ordinal::BIGINT AS ordinal, kind, concat_ws(' ', shown_id, line) AS line, shown_id FROM i""",
+)
+def p20_reduced_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model is shown of each page: lines of all kinds in page order, numbered where they can be chosen."""
+    hosts = table(spark, sf_dir, "pages").withColumn("host", F.regexp_extract("url", "://([^/?#]*)", 1))
+    found = reduction.reduced(hosts.select("page_id", "url", F.expr(_SHOWN).alias("html")))
+    return found.select("page_id", "ordinal", "kind", "line", "shown_id")
