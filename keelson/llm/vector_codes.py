@@ -42,7 +42,7 @@ from keelson.llm.common import by_value, near, settle
 
 SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
 #: Dimensions summed before entries are dropped again, and vectors held against a codebook at once.
-STEP, BLOCK = 4, 1024
+STEP, BLOCK = 8, 1024
 MOST = (1 << 63) - 1
 
 
@@ -81,10 +81,19 @@ def table_of(column: pa.Array, dimension: int) -> np.ndarray:
     return found if safe(found) else found.astype(object)
 
 
-def safe(*arrays: np.ndarray) -> bool:
-    """Whether sums of squared differences of rows stay within 64 bits."""
+def safe(*arrays: np.ndarray, within: int = MOST) -> bool:
+    """Whether sums of squared differences of rows stay below a bound, by default that of 64 bits."""
     largest = max((int(max(a.max(), -int(a.min()))) for a in arrays if a.size), default=0)
-    return 4 * largest * largest * max((a.shape[-1] for a in arrays), default=1) < MOST
+    return 4 * largest * largest * max((a.shape[-1] for a in arrays), default=1) < within
+
+
+def partial(vectors: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """Squared distances of all vectors from all entries over the dimensions given, exact."""
+    if vectors.dtype == object or not safe(vectors, entries, within=1 << 53):
+        gap = vectors[:, None, :] - entries[None, :, :]
+        return (gap * gap).sum(axis=2)
+    v, e = vectors.astype(float), entries.astype(float)  # whole numbers below 2 ** 53 stay exact
+    return ((v * v).sum(axis=1)[:, None] - 2 * (v @ e.T) + (e * e).sum(axis=1)[None, :]).astype(np.int64)
 
 
 def nearest(vectors: np.ndarray, entries: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
@@ -93,20 +102,17 @@ def nearest(vectors: np.ndarray, entries: np.ndarray, step: int = STEP) -> tuple
         vectors, entries = vectors.astype(object), entries.astype(object)
     spread = np.array(entries, dtype=float).var(axis=0)
     order = np.argsort(-spread, kind="stable")
+    vectors, entries = vectors[:, order], entries[:, order]  # in descending variance
     chosen, errors = np.empty(len(vectors), dtype=np.int64), np.empty(len(vectors), dtype=vectors.dtype)
     for at in range(0, len(vectors), BLOCK):
         block = vectors[at : at + BLOCK]
-        first = order[:step]
-        gap = block[:, None, first] - entries[None, :, first]
-        sums = (gap * gap).sum(axis=2)
-        guess = sums.argmin(axis=1)
-        off = block - entries[guess]
+        sums = partial(block[:, :step], entries[:, :step])
+        off = block - entries[sums.argmin(axis=1)]
         best = (off * off).sum(axis=1)
         rows, names = np.nonzero(sums <= best[:, None])
         sums = sums[rows, names]
-        for done in range(step, len(order), step):
-            more = order[done : done + step]
-            gap = block[np.ix_(range(len(block)), more)][rows] - entries[np.ix_(range(len(entries)), more)][names]
+        for done in range(step, vectors.shape[1], step):
+            gap = block[rows, done : done + step] - entries[names, done : done + step]
             sums = sums + (gap * gap).sum(axis=1)
             stays = sums <= best[rows]
             rows, names, sums = rows[stays], names[stays], sums[stays]
