@@ -144,7 +144,10 @@ class Piece:
         place = anchor[first]
         whole = place >= 0
         self.place, self.first, self.last, self.wide, self.pad = place[whole], first[whole], last[whole], wide, pad
-        self.doc, self.hashes = doc[self.place], mixed[self.place]
+        # Anchors are least hashes, so mostly small; mixed once more, one to one, they spread over all numbers.
+        hashes = mixed[self.place] * _MIX[0]
+        hashes ^= hashes >> np.uint64(32)
+        self.doc, self.hashes = doc[self.place], hashes * _MIX[1]
 
     def suffixes(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words, bytes after and bytes before of some anchors."""
