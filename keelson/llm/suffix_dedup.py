@@ -67,6 +67,8 @@ HOT_SHARE = 0.25
 #: Smaller buckets give each shuffle partition as many as this, so that partitions even out, but none of fewer suffixes.
 SPREAD, LEAST_BUCKET_ROWS = 8, 10_000
 NO_ID = np.iinfo(np.int64).max
+#: Low bits of a token's hash that aren't asked about: 48 are left, so of 10 ** 12 tokens one in 280 is kept in vain.
+UNASKED = np.uint64(16)
 
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
@@ -147,7 +149,7 @@ class Piece:
         # Anchors are least hashes, so mostly small; mixed once more, one to one, they spread over all numbers.
         hashes = mixed[self.place] * _MIX[0]
         hashes ^= hashes >> np.uint64(32)
-        self.doc, self.hashes = doc[self.place], hashes * _MIX[1]
+        self.doc, self.hashes = doc[self.place], hashes * _MIX[1] & ~((np.uint64(1) << UNASKED) - np.uint64(1))
 
     def suffixes(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words, bytes after and bytes before of some anchors."""
@@ -357,6 +359,15 @@ def unpacked(payload: bytes, *types) -> list[np.ndarray]:
     return found
 
 
+def steps_of(hashes: np.ndarray) -> np.ndarray:
+    """Sorted hashes as what each adds to the one before it."""
+    return np.diff(hashes >> UNASKED, prepend=np.uint64(0))
+
+
+def hashes_of(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=np.uint64) << UNASKED
+
+
 #: Of a payload of suffixes: words, bytes after and before, ids, then how many places each has, and their document and start.
 SUFFIX_TYPES = (np.uint64, np.uint8, np.uint8, np.int64, np.int32, np.int32, np.int64)
 #: Of a payload of spans: document, start, end.
@@ -572,27 +583,27 @@ def spans(chunked: DataFrame, plan: Plan, doc_id: str, text: str, chunk: str) ->
         rows = []
         for at in np.split(np.arange(len(hashes)), np.flatnonzero(np.diff(name)) + 1):
             if len(at):
-                rows.append((int(name[at[0]]), key[0].as_py(), packed(np.diff(hashes[at], prepend=np.uint64(0)), np.packbits(twice[at]))))
+                rows.append((int(name[at[0]]), key[0].as_py(), packed(steps_of(hashes[at]), np.packbits(twice[at]))))
         return pa.Table.from_batches([batch_of(rows, ASKED)])
 
     def answer(table: pa.Table) -> pa.Table:
         """Of the tokens that each chunk asked for those that are in two documents."""
         own = [unpacked(p, np.uint64, np.uint8) for p in table["payload"].to_pylist()]
-        own = [(np.cumsum(h, dtype=np.uint64), np.unpackbits(t)[: len(h)].astype(bool)) for h, t in own]
+        own = [(hashes_of(h), np.unpackbits(t)[: len(h)].astype(bool)) for h, t in own]
         names, times = np.unique(np.concatenate([h for h, _ in own]), return_counts=True)
         often = names[times > 1]
         rows = []
         for key, chunk_id, (hashes, twice) in zip(table["ask"].to_pylist(), table["chunk"].to_pylist(), own):
             stay = hashes[twice | among(hashes, often)]
             if len(stay):
-                rows.append((key, chunk_id, packed(stay)))
+                rows.append((key, chunk_id, packed(steps_of(stay))))
         return pa.Table.from_batches([batch_of(rows, ASKED)])
 
     def ship(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows or not answers.num_rows:
             return pa.Table.from_batches([batch_of([], ROWS)])
         _, ids, texts = of_chunk(docs, doc_id, text)
-        wanted = np.sort(np.concatenate([unpacked(p, np.uint64)[0] for p in answers["payload"].to_pylist()]))
+        wanted = np.sort(np.concatenate([hashes_of(unpacked(p, np.uint64)[0]) for p in answers["payload"].to_pylist()]))
         home = key[0].as_py()
         rows = [(-1 - home if node < 0 else bucket, node, straddles, home, payload) for bucket, node, straddles, payload in shipped(ids, texts, wanted, plan)]
         return pa.Table.from_batches([batch_of(rows, ROWS)])
