@@ -1,8 +1,40 @@
 """How work is dealt: what would go to one task, or to the driver, once tables are large."""
 
+import json
+
 from pyspark.sql import functions as F
 
-from keelson.operators.staging import staged
+from keelson.operators.staging import known_bytes, spread, staged
+from keelson.sources import documents
+
+
+def one_file(spark, folder, rows):
+    spark.range(rows).coalesce(1).write.parquet(f"{folder}/t")
+    return spark.read.parquet(f"{folder}/t")
+
+
+def test_documents_made_by_a_join_are_dealt_to_all_cores(spark, tmp_path):
+    """The planner multiplies the sides of a join and knows nothing of rows that the driver made."""
+    made = spark.createDataFrame([(0, '{"a":1}'), (1, '{"b":[2]}')], "n long, content string")
+    own = one_file(spark, tmp_path, 4000).withColumn("n", F.col("id") % 2).join(F.broadcast(made), "n").select("id", "content")
+    assert own.rdd.getNumPartitions() == 1 and spread(own).rdd.getNumPartitions() >= 4
+    assert known_bytes(made) is None and spread(made).rdd.getNumPartitions() == made.rdd.getNumPartitions()
+    assert documents.read_nodes(own).rdd.getNumPartitions() >= 4
+
+
+def test_rows_of_many_small_documents_are_handed_on_together(spark):
+    contents = [json.dumps({"k": i, "l": list(range(i % 5))}) if i % 7 else "{" for i in range(3000)]
+    given = spark.createDataFrame([*enumerate(contents)], "id long, content string").coalesce(1)
+    found = documents.read_nodes(given)
+    want = sorted((i, *row) for i, text in enumerate(contents) for piece in documents.rows_of(text) for row in piece)
+    got = sorted(tuple(r) for r in found.collect())
+    assert [tuple(map(str, r)) for r in got] == [tuple(map(str, r)) for r in want]
+
+    def sizes(batches):
+        for batch in batches:
+            yield batch.select(["id"]).slice(0, 1)
+
+    assert found.mapInArrow(sizes, "id long").count() < 20
 
 
 def joins(df):
