@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from keelson.operators import references
 from keelson.operators.staging import known_bytes, spread, staged
 from keelson.sources import documents
 
@@ -48,3 +49,9 @@ def test_what_was_exploded_before_a_checkpoint_is_not_broadcast(spark):
     assert "Broadcast" in joins(asked.join(F.broadcast(large), "k"))  # what is counted may still be
     small = staged(spark.range(10).select(F.col("id").cast("int").alias("k")))
     assert "Broadcast" in joins(large.join(small, "k")) and large.join(small, "k").count() == 100
+
+
+def test_places_are_read_by_all_cores(spark, tmp_path):
+    own = one_file(spark, tmp_path, 1000).select(F.col("id").cast("string").alias("url"), F.lit('{"a":{"$ref":"#/b"}}').alias("content"))
+    found = references.places(own)
+    assert own.rdd.getNumPartitions() == 1 and found.rdd.getNumPartitions() >= 4 and found.count() == 3000
