@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keelson.operators.staging import near
+
 #: Public suffixes under which no two hosts are related; a small table, passed where a longer one is at hand.
 PUBLIC_SUFFIXES = ("com", "org", "net", "io", "dev", "co.uk", "org.uk", "com.au", "co.jp", "github.io", "de", "fr", "es", "uk")
 SAME, UNDER_SERVER, UNDER_TARGET = "same", "target_under_server", "server_under_target"
@@ -47,7 +49,8 @@ def find_operations(requests: DataFrame, operations: DataFrame, keys: list[str]
     that some template of its length has (there are few), and masked paths meet masked
     templates in an equi-join, so a path meets only templates with its own literal
     segments; what a segment holds besides its parameter is compared last.  A null
-    method asks for any.
+    method asks for any.  Where the operations' counted bytes are few, they come to the
+    requests, as all requests may share their keys.
     """
     keys = keys or []
     segments = lambda c: F.split(c, "/")
@@ -58,13 +61,15 @@ def find_operations(requests: DataFrame, operations: DataFrame, keys: list[str]
         *keys, F.col("method").alias("offered_method"), "template", F.size(segments(F.col("template"))).alias("segments"),
         mask.alias("mask"), masked.alias("masked"), template_pattern(F.col("template")).alias("pattern"),
     )
+    of_keys = (F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in keys)
+    size = operations.agg(F.coalesce(F.sum(sum(of_keys, 200 + 8 * F.octet_length("template"))), F.lit(0)).alias("n")).first()["n"]
     masks = offered.groupBy(*keys, "segments").agg(F.collect_set("mask").alias("masks"))
-    asked = requests.withColumn("segments", F.size(segments(F.col("path")))).join(masks, [*keys, "segments"])
+    asked = requests.withColumn("segments", F.size(segments(F.col("path")))).join(near(masks, size), [*keys, "segments"])
     asked = asked.withColumn("mask", F.explode("masks")).drop("masks")
     own = F.array_join(F.transform(segments(F.col("path")), lambda s, i: F.when(F.substr("mask", i + 1, F.lit(1)) == "*", "*").otherwise(s)), "/")
     return (
         asked.withColumn("masked", own)
-        .join(offered, [*keys, "segments", "mask", "masked"])
+        .join(near(offered, size), [*keys, "segments", "mask", "masked"])
         .where("(method IS NULL OR method = offered_method) AND path RLIKE pattern")
         .select(*keys, "request_id", F.col("offered_method").alias("method"), "path", "template")
     )

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from keelson.operators import references
+from keelson.operators import references, search
 from keelson.operators.staging import known_bytes, spread, staged
 from keelson.sources import documents
 
@@ -55,3 +55,16 @@ def test_places_are_read_by_all_cores(spark, tmp_path):
     own = one_file(spark, tmp_path, 1000).select(F.col("id").cast("string").alias("url"), F.lit('{"a":{"$ref":"#/b"}}').alias("content"))
     found = references.places(own)
     assert own.rdd.getNumPartitions() == 1 and found.rdd.getNumPartitions() >= 4 and found.count() == 3000
+
+
+def test_requests_for_one_contract_do_not_meet_in_one_task(spark, tmp_path):
+    spark.range(500).select(
+        F.col("id").alias("request_id"), F.lit("c").alias("contract"), F.lit("GET").alias("method"), F.concat(F.lit("/v1/a/"), "id").alias("path")
+    ).write.parquet(f"{tmp_path}/asked")
+    asked = spark.read.parquet(f"{tmp_path}/asked")
+    operations = spark.createDataFrame([("c", "GET", "/a/{id}"), ("c", "GET", "/v1/a/7")], "contract string, method string, template string")
+    contracts = spark.createDataFrame([("c", ["/v1"], False), ("d", [], True)], "contract string, bases array<string>, hidden boolean")
+    found = search.operation_checks(asked, operations, contracts)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [contract" not in plan and "BroadcastHashJoin [contract" in plan
+    assert {(r.outcome, r.template) for r in found.collect()} == {("match", "/a/{id}")} and found.count() == 500
