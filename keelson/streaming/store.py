@@ -13,6 +13,7 @@ all of a completed check or none of it, and a batch that was cut off is written
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator
 
@@ -33,6 +34,8 @@ REQUESTS = (
     "source_id long, seq long, kind string, check_id string, at long, outcome string, before_snapshot_id string, snapshot_id string, "
     "content string, version string, documents string, changes string"
 )
+#: Sources whose numbers differ only in so many last bits are one group of the stream.
+BUCKET_BITS = 4
 READ = ["seq", "kind", "check_id", "at", "outcome", "before_snapshot_id", "snapshot_id", "content", "version", "changes"]
 #: What a decision adds: accepted or what was wrong, when the check began, and the reference that applied.
 MADE = {"decision": "string", "started_at": "long", "reference": "string"}
@@ -84,29 +87,33 @@ def decisions(requests: DataFrame) -> DataFrame:
 
 
 class Store(StatefulProcessor):
-    """The same decisions as a stream."""
+    """The same decisions as a stream.
+
+    A group costs several calls and a batch of its own, more than the few requests of a
+    source, so neighbouring sources (see BUCKET_BITS) are one group.  Each source keeps an
+    entry of its own in the state; entries of sources that a micro-batch lacks stay as they are.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.head = handle.getValueState("head", "seq long, reference string, content string, version string")
-        self.running = handle.getMapState("running", "check_id string", "at long")
+        self.heads = handle.getMapState("heads", "source_id long", "seq long, reference string, content string, version string, running string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # A micro-batch brings the requests of a source in any order; it is as large as the trigger lets it be.
-        frame = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        source = Source()
-        if self.head.exists():
-            source.seq, source.reference, source.content, source.version = self.head.get()
-        source.running = before = {k[0]: v[0] for k, v in self.running.iterator()}
-        source.running = dict(before)
+        frame = pd.concat(list(rows)).drop(columns="bucket").sort_values("seq", kind="stable", ignore_index=True)
         plain = frame.astype(object).where(frame.notna(), None)
-        found = [decided(source, *(v if c not in ("seq", "at") or v is None else int(v) for c, v in zip(READ, row))) for row in plain[READ].itertuples(index=False)]
-        for check in before.keys() - source.running.keys():
-            self.running.removeKey((check,))
-        for check, at in source.running.items():
-            if before.get(check) != at:
-                self.running.updateValue((check,), (at,))
-        self.head.update((source.seq, source.reference, source.content, source.version))
-        made = pd.DataFrame(found, columns=list(MADE), index=plain.index).astype({"started_at": "Int64"})
+        known = {k[0]: v for k, v in self.heads.iterator()}
+        sources, found = {}, []
+        for name, *request in zip(*(plain[c].tolist() for c in ("source_id", *READ))):
+            source = sources.get(name)
+            if source is None:
+                source = sources[name] = Source()
+                if name in known:
+                    source.seq, source.reference, source.content, source.version, running = known[name]
+                    source.running = json.loads(running)
+            found.append(decided(source, *(v if c not in ("seq", "at") or v is None else int(v) for c, v in zip(READ, request))))
+        for name, source in sources.items():
+            self.heads.updateValue((name,), (source.seq, source.reference, source.content, source.version, json.dumps(source.running)))
+        made = pd.DataFrame(found, columns=list(MADE)).astype({"started_at": "Int64"})
         yield pd.concat([plain.astype({"source_id": "int64", "seq": "int64", "at": "Int64"}), made], axis=1)
 
     def close(self) -> None:
@@ -157,7 +164,7 @@ def run(requests: DataFrame, folder: str, state: str):
     """
     requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     schema = ", ".join([REQUESTS, *(f"{n} {t}" for n, t in MADE.items())])
-    found = requests.groupBy("source_id").transformWithStateInPandas(Store(), schema, "Append", "None")
+    found = requests.withColumn("bucket", F.shiftright("source_id", BUCKET_BITS)).groupBy("bucket").transformWithStateInPandas(Store(), schema, "Append", "None")
     return found.writeStream.foreachBatch(publish_to(folder)).option("checkpointLocation", state).trigger(availableNow=True).start()
 
 

@@ -2,6 +2,7 @@
 
 import shutil
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +89,27 @@ def test_refused_calls_add_nothing(spark, seed):
     found = {r.seq: (r.spent_before, r.decision) for r in folding.authorised(rows, 3000, 30, 800).collect()}
     assert found == want and len({d for _, d in want.values()}) >= 4
     assert folding.authorised(rows.limit(0), 1, 1, 1).count() == 0
+
+
+def test_one_group_holds_many_sources_each_with_its_own_state():
+    """Groups of the stream cost more than their rows, so neighbouring sources share one; pieces in any order give the decisions of the log."""
+
+    class Entries(dict):
+        updateValue = dict.__setitem__
+
+        def iterator(self):
+            return iter(list(self.items()))
+
+    class Handle:
+        def getMapState(self, *_):
+            return Entries()
+
+    processor, found = store.Store(), []
+    processor.init(Handle())
+    for piece in (LOG[:5] + LOG[-1:], LOG[5:14], LOG[3:-1]):
+        given = pd.DataFrame(piece[::-1], columns=NAMES).assign(bucket=0)
+        found += [r for made in processor.handleInputRows((0,), iter([given]), None) for r in made.itertuples(index=False) if r.decision != "repeated"]
+    decided = {(r.source_id, r.seq): r.decision for r in found}
+    want = {(r[0], r[1]): d for r, d in zip(LOG, WANT)} | {(2, 1): "repeated"}
+    assert len(found) == len(decided) and decided == {k: v if k != (2, 2) else "not_running" for k, v in want.items() if v != "repeated"}
+    assert set(processor.heads) == {(1,), (2,)}
