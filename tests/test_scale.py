@@ -4,9 +4,10 @@ import json
 
 from pyspark.sql import functions as F
 
-from keelson.operators import references, search
+from keelson.operators import contract_diff, references, search, staging
 from keelson.operators.staging import known_bytes, spread, staged
-from keelson.sources import documents
+from keelson.plans import contract_cases
+from keelson.sources import contracts, documents
 
 
 def one_file(spark, folder, rows):
@@ -68,3 +69,42 @@ def test_requests_for_one_contract_do_not_meet_in_one_task(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [contract" not in plan and "BroadcastHashJoin [contract" in plan
     assert {(r.outcome, r.template) for r in found.collect()} == {("match", "/a/{id}")} and found.count() == 500
+
+
+def labelled(spark, *names):
+    """Both versions of labelled cases."""
+    rows = [(name, side, text) for name, *texts in contract_cases.documents() if name in names for side, text in zip(("before", "after"), texts)]
+    return spark.createDataFrame(rows, "pair string, side string, content string")
+
+
+CASES = ("shared_component", "property_removed_deep", "chain_of_references", "item_by_reference", "parameter_by_reference", "cycle")
+
+
+def test_objects_that_are_many_are_dealt_once_for_all_lookups(spark, monkeypatch):
+    def found(read):
+        findings, limits = contract_diff.compare(read)
+        return sorted(map(str, findings.collect())), sorted(map(str, limits.collect()))
+
+    given = labelled(spark, *CASES)
+    want = found(contracts.read_contracts(given))
+    monkeypatch.setattr(staging, "BROADCAST_BYTES", -1)  # as if they were too many to be broadcast
+    read = contracts.read_contracts(given)
+    frontier = given.select("pair", "side", F.concat(F.lit("#/"), "pair").alias("place"))
+    plan = contracts.opened(frontier, read.objects.hint("merge"), read.keys)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    assert found(read) == want and len(want[0]) > 5
+
+
+def test_the_bound_of_a_schema_is_not_that_of_all_schemas(spark, monkeypatch):
+    """Only where one schema may be beyond its bound are the nodes of each counted, over all waves so far."""
+    put = []
+    monkeypatch.setattr(contracts, "staged", lambda df: put.append(df.columns) or staged(df))
+    read = contracts.read_contracts(labelled(spark, "shared_component", "property_removed_deep", "enum_lost", "required"))
+    roots = read.rows.where("part = 'schema'").select(*read.keys, F.col("fields")["root"].alias("root")).distinct()
+    monkeypatch.setattr(contracts, "MOST_NODES", 6)
+    nodes, bad = contracts.expanded(roots, read.objects, read.keys)
+    assert nodes.count() > 12 and bad.count() == 0 and [*read.keys, "root"] not in put
+    monkeypatch.setattr(contracts, "MOST_NODES", 3)
+    nodes, bad = contracts.expanded(roots, read.objects, read.keys)
+    assert {r.pair for r in bad.collect()} == {"property_removed_deep"} and [*read.keys, "root"] in put
