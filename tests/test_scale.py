@@ -108,3 +108,13 @@ def test_the_bound_of_a_schema_is_not_that_of_all_schemas(spark, monkeypatch):
     monkeypatch.setattr(contracts, "MOST_NODES", 3)
     nodes, bad = contracts.expanded(roots, read.objects, read.keys)
     assert {r.pair for r in bad.collect()} == {"property_removed_deep"} and [*read.keys, "root"] in put
+
+
+def test_findings_are_not_worked_out_for_limitations(spark, monkeypatch):
+    put = []
+    monkeypatch.setattr(contract_diff, "staged", lambda df: put.append(df.columns) or staged(df))
+    findings, limits = contract_diff.compare(contracts.read_contracts(labelled(spark, "cycle", "required")))
+    assert {(r.pair, r.code) for r in limits.collect()} == {("cycle", "schema_construct_not_classified"), ("cycle", "scope_not_assessed"), ("required", "scope_not_assessed")}
+    assert put and not any("key" in columns for columns in put)
+    want = [(name, rule) for name, rule, _, _ in contract_cases.expected_findings() if name in ("cycle", "required")]
+    assert sorted((r.pair, r.rule_id) for r in findings.collect()) == sorted(want)
