@@ -1,7 +1,10 @@
 """How work is dealt: what would go to one task, or to the driver, once tables are large."""
 
 import json
+import pathlib
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from keelson.operators import contract_diff, references, search, staging
@@ -118,3 +121,52 @@ def test_findings_are_not_worked_out_for_limitations(spark, monkeypatch):
     assert put and not any("key" in columns for columns in put)
     want = [(name, rule) for name, rule, _, _ in contract_cases.expected_findings() if name in ("cycle", "required")]
     assert sorted((r.pair, r.rule_id) for r in findings.collect()) == sorted(want)
+
+
+def folders(spark):
+    """Folders of checkpoints that are there."""
+    root = pathlib.Path(staging.staging_folder(spark).removeprefix("file:"))
+    return {f.name for f in root.iterdir() if not f.name.startswith(".")}
+
+
+def test_what_a_portion_stages_is_gone_after_it(spark, monkeypatch):
+    """Of pairs that are many, only results stay on disk; each pair is compared once, in one portion."""
+    given = labelled(spark, *CASES, "required", "nullable")
+    of = lambda found, limits: found.select("pair", "key").unionByName(limits.select("pair", F.col("code").alias("key")))
+    want = sorted(map(tuple, contract_diff.compared(given, of).collect()))
+    seen, compare = [], contract_diff.compare
+    monkeypatch.setattr(contract_diff, "compare", lambda read: seen.append({r.pair for r in read.nodes.select("pair").distinct().collect()}) or compare(read))
+    monkeypatch.setattr(contract_diff, "PORTION_BYTES", 2000)
+    before = folders(spark)
+    found = contract_diff.compared(given, of)
+    assert len(seen) > 1 and set().union(*seen) == {*CASES, "required", "nullable"} and sum(map(len, seen)) == len(CASES) + 2
+    assert len(folders(spark) - before) == len(seen)
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 10
+
+
+def test_portions_hold_all_rows_once_and_a_failed_one_leaves_nothing(spark):
+    rows = spark.range(1000).select(F.col("id"), F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("k"), F.lit("x" * 10).alias("t"))
+
+    def work(part):
+        return staged(part).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+
+    want = sorted(map(str, work(rows).collect()))
+    for most in (100, 3000, 10_000, 1 << 30):
+        assert sorted(map(str, staging.in_portions(rows, ["k"], F.octet_length("t"), most, work).collect())) == want
+    assert staging.in_portions(rows.where("id < 0"), ["k"], F.octet_length("t"), 100, work).count() == 0
+    before = folders(spark)
+    with pytest.raises(ZeroDivisionError):
+        staging.in_portions(rows, ["k"], F.octet_length("t"), 3000, lambda part: 1 // 0 if staged(part) else part)
+    assert folders(spark) == before and spark.conf.get(staging.SHUFFLES_GO) == "false"
+
+
+def test_shuffles_of_a_checkpoint_are_removed(spark):
+    held = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().size()
+    given = spark.range(50_000).groupBy((F.col("id") % 1000).alias("k")).agg(F.max("id").alias("m"))
+    before = held()
+    kept = [staged(given.withColumn("i", F.lit(i)).groupBy("k", "i").agg(F.max("m").alias("m"))) for i in range(8)]
+    for _ in range(100):
+        if held() < before + 8:
+            break
+        time.sleep(0.1)
+    assert held() < before + 8 and sum(k.count() for k in kept) == 8000
