@@ -170,3 +170,11 @@ def test_shuffles_of_a_checkpoint_are_removed(spark):
             break
         time.sleep(0.1)
     assert held() < before + 8 and sum(k.count() for k in kept) == 8000
+
+
+def test_only_values_where_references_end_are_moved_for_them(spark):
+    nodes = staged(documents.read_nodes(spark.createDataFrame([(1, '{"a":{"$ref":"#/b"},"b":{"c":1},"d":{"$ref":"#/no"}}')], "id long, content string")))
+    refs = staged(nodes.where("ref IS NOT NULL").select("id", "at", F.col("ref").alias("target"), F.lit(None).cast("string").alias("problem")))
+    found = contracts.resolved(refs, nodes, ["id"])
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.at, r.place_kind, r.problem) for r in found.collect()} == {("#/a", "object", None), ("#/d", None, "target_missing")}
